@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pandect.operators import law_documents, law_references, law_status, law_totals
+from pandect.queries.sql import B, key_sql
 from pandect.sources.tables import table
 
 
@@ -35,16 +36,6 @@ QUERIES = {
     "p4_details": _p4(lambda laws: law_documents.detail_table(law_documents.law_nodes(laws))),
 }
 
-#: Blanks of all scripts, inside of a character class of the oracle's engine.
-B = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-P = r"^.*?([a-z]+)[^a-z0-9]+([0-9]{4})[^a-z0-9]+([0-9]+)[^a-z0-9]*$"
-
-
-def key_sql(x: str) -> str:
-    """SQL for the normal form of a law reference."""
-    return rf"CASE WHEN regexp_matches(lower({x}), '{P}') THEN regexp_replace(lower({x}), '{P}', 'UK_\1_\2_\3') ELSE nullif(regexp_replace({x}, '^[{B}]+|[{B}]+$', '', 'g'), '') END"
-
-
 _OBSERVED = r"""
 st AS (SELECT regexp_replace(lower(label), '[^\p{L}]', '', 'g') AS k, min(status_code) AS status_code FROM live_statuses GROUP BY 1),
 logs AS (SELECT name, unnest(record_change_log) AS e FROM uk_lrt),
