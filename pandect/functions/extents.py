@@ -66,7 +66,7 @@ def pan_region(names: Column) -> Column:
     """One code for a set of nations."""
     has = lambda n: F.array_contains(names, n)
     joined = F.array_join(_ordered(lambda _, name: has(name)), "+")
-    return F.when(joined == "E+W+S+NI", "UK").when(joined == "E+W+S", "GB").otherwise(joined)
+    return F.when(names.isNull(), F.lit(None)).when(joined == "E+W+S+NI", "UK").when(joined == "E+W+S", "GB").otherwise(joined)
 
 
 def flags(extent: Column) -> Column:
