@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pandect.plans.cut import stored
+
 FANOUT = 16
 LEVELS = 3
 _A, _B = "__digest_a", "__digest_b"
@@ -128,7 +130,8 @@ def replay(deliveries: DataFrame, keys: Sequence[str], values: Sequence[str], sn
     for c in (*keys, snapshot):
         rows = rows.where(F.col(c).isNotNull())
     # One row per content with the first snapshot that has it: partial aggregation before the shuffle.
-    first = rows.groupBy(*cols).agg(F.min(snapshot).alias(snapshot))
+    # It is stored: every level of the tree and the diff read it, and their plans stay small.
+    first = stored(rows.groupBy(*cols).agg(F.min(snapshot).alias(snapshot)))
     compared = []
     for level in tree(first, keys, values, (snapshot,), levels, fanout):
         w = Window.partitionBy("__node").orderBy(snapshot).rowsBetween(Window.unboundedPreceding, Window.currentRow)

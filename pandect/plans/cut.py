@@ -1,25 +1,43 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares.
+
+Both ways leave files that outlive lost executors: ``cut`` a checkpoint,
+``stored`` a Parquet table, which is smaller and lets readers prune columns
+and skip row groups.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only a local session
-    without one gets a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session without
+    one gets a folder of its own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pandect-checkpoint-"))
+    known = sc._jsc.sc().getCheckpointDir()
+    if shared is None and known.isDefined():
+        shared = known.get()
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pandect-")
+    if not known.isDefined():
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint: its files outlive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """``df`` from a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` from a Parquet table that is written once in the shared folder."""
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/pandect-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
