@@ -38,13 +38,16 @@ FDR = 0.01
 
 _INNER = BLANK.replace(r"\s", r" \t\x{0b}\f\r")
 _ZERO = r"\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}"
-#: What senders put behind a cut.
-_MARKS = rf"(?:[ \n{_ZERO}…>\"”]++|\.{{3,}}+|\[(?:…|\.\.\.)\]|\((?:cont\.?|continued|…|\.\.\.)\)|</?[A-Za-z][^<>]*+>)+\z"
+#: What senders put behind a cut, as it reads backwards: from the text's end a
+#: pattern can be anchored, so texts aren't searched for it.
+_MARKS = rf"\A(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:…|\.\.\.)\[|\)(?:\.?tnoc|deunitnoc|…|\.\.\.)\()+"
 #: What follows a whole text: note marks, leaders, references, rulers.
-_NOTES = r"(?:[ \n]*+(?:\[[A-Z]?\d++\]|[. ]{5,}+(?:[A-Z]?\d++)?|\(\d++\)|\*++|[—–-]|\(see [^()]*+\)|[Ee]nd of document|[A-Z]\d++))*+"
+_NOTES = rf"(?:[{BLANK}]*+(?:\[[A-Z]?\d++\]|[. ]{{5,}}+(?:[A-Z]?\d++)?|\(\d++\)|\*++|[—–-]|\(see [^()]*+\)|[Ee]nd of document|[A-Z]\d++))*+"
 _SENTENCE = rf"[.!?][”’'\")\]]*+{_NOTES}\z"
 #: A full stop that ends no sentence: after an abbreviation of a reference, or inside a date or an amount.
-_ABBREVIATED = r"(?:^|[^\p{L}])(?:ss?|regs?|paras?|cols?|arts?|Schs?|Nos?|rheol)\.\z|(?:on \d{1,2}|\d{1,2}\.\d{1,2}|£[\d,]+|was \d+)\.\z"
+_ABBREVIATED = r"(?:^|[^\p{L}])(?:ss?|regs?|paras?|cols?|arts?|Schs?|Nos?|rheol)\.\z|(?:on \d{1,2}|\d{1,2}\.\d{1,2}|£[\d,]{1,20}|was \d{1,20})\.\z"
+#: Characters at the end that the pattern above can look at.
+_SHORT = 32
 _ITEM_END = r"[;,](?: (?:and|or|neu|a|ac))?\z"
 #: What stands before the last item mark; an item of its own follows the end of a sentence, a line end, or nothing.
 _BEFORE_ITEM = r"(?s)\A(.*)\([a-z]{1,3}\) "
@@ -56,22 +59,32 @@ _CAP = r"\p{Lu}[\p{L}'’-]*"
 _HEADING = rf"\A(?:PART \d+[A-Z]? [\p{{Lu}} ]+|[^.\n]*\b(?:Act|Order|Rules|Regulations) \d{{4}}|{_CAP}(?: {_CAP}){{0,2}}: [\p{{L}} -]+|{_CAP}(?: (?:{_CAP}|of|and))* of \p{{Ll}}[\p{{Ll}} -]*)\z"
 
 
-def core(text: Column) -> Column:
-    """The text with single blanks and line ends, without marks behind it."""
-    flat = F.regexp_replace(text, rf"[{_INNER}]++", " ")
+def unmarked(text: Column) -> Column:
+    """The text without the marks and blanks behind it."""
+    return F.reverse(F.regexp_replace(F.reverse(text), _MARKS, ""))
+
+
+def whole_sentence(c: Column) -> Column:
+    """Whether an unmarked text ends with a sentence, notes and references behind it allowed."""
+    return c.rlike(_SENTENCE) & ~F.right(c, F.lit(_SHORT)).rlike(_ABBREVIATED)
+
+
+def flat(c: Column) -> Column:
+    """With single blanks and line ends, and none at the start."""
+    flat = F.regexp_replace(c, rf"[{_INNER}]++", " ")
     flat = F.regexp_replace(flat, r"(?: ?\n)+ ?", "\n")
-    return F.regexp_replace(F.regexp_replace(flat, _MARKS, ""), r"\A[ \n]+", "")
+    return F.regexp_replace(flat, r"\A[ \n]+", "")
 
 
 def ending(c: Column) -> Column:
-    """How a core ends: 'blank', 'whole', 'either' (whole unless cut exactly
-    there) or 'cut'."""
+    """How a flat, unmarked text ends: 'blank', 'whole', 'either' (whole
+    unless cut exactly there) or 'cut'."""
     before = F.regexp_extract(c, _BEFORE_ITEM, 1)
     item = c.rlike(_ITEM_END) & c.rlike(r"\([a-z]{1,3}\) ") & before.rlike(_OWN_ITEM)
     return (
         F.when(c == "", "blank")
-        .when(c.rlike(_ROW) | c.rlike(_SIGNED), "whole")
-        .when(c.rlike(_SENTENCE), F.when(c.rlike(_ABBREVIATED), "cut").otherwise("whole"))
+        .when(c.rlike(_ROW) | c.rlike(_SIGNED) | whole_sentence(c), "whole")
+        .when(c.rlike(_SENTENCE), "cut")
         .when(item | c.rlike(_LEAD_IN), "either")
         .when(c.rlike(_HEADING), "either")
         .otherwise("cut")
@@ -107,8 +120,10 @@ def judged(documents: DataFrame) -> DataFrame:
     """``doc_id, source_name, verdict`` of the documents whose ending is 'cut'
     or 'either': verdict 'field limit', 'transfer', or null for whole ones."""
     rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(source_key(F.col("source")), F.lit("")).alias("source_name"), "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    # Generators keep the filter on the ending from being pushed into, and so repeating, the patterns of the core.
-    rows = rows.select("*", F.explode(F.array(core(F.col("text")))).alias("core")).drop("text")
+    # Generators keep filters from being pushed into, and so repeating, the patterns. Most
+    # texts end with a sentence; only the others are flattened for the finer tests.
+    rows = rows.select("*", F.explode(F.array(unmarked(F.col("text")))).alias("bare")).drop("text").where(~whole_sentence(F.col("bare")))
+    rows = rows.select("*", F.explode(F.array(flat(F.col("bare")))).alias("core")).drop("bare")
     rows = rows.select("*", F.explode(F.array(ending(F.col("core")))).alias("ending")).where("ending in ('cut', 'either')")
     rows = rows.select("doc_id", "source_name", "ending", "chars", "bytes", F.xxhash64("core").alias("h"), F.xxhash64(F.lit(1), "core").alias("g"))
     known = limits(documents).select("source_name", "measure", F.col("length").cast("int").alias("length"))
