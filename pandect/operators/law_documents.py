@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pandect.functions.text import strip_blanks
 from pandect.operators.shredding import adjacency, entities
+from pandect.plans.cut import stored
 from pandect.plans.newest import newest
 
 KEYS = ["law_name", "field"]
@@ -22,7 +23,8 @@ def law_nodes(laws: DataFrame) -> DataFrame:
     rows = newest(laws, "name", ["duty_holder", "popimar", STATS])
     as_json = F.to_json(STATS, {"ignoreNullFields": "false"})
     docs = [F.struct(F.lit(f).alias("field"), c.alias("document")) for f, c in (("duty_holder", F.col("duty_holder")), ("popimar", F.col("popimar")), (STATS, as_json))]
-    return adjacency(rows.select(F.col("name").alias("law_name"), F.inline(F.array(*docs))), KEYS, "document")
+    # The table is stored: entity tables read different columns and paths of it, and documents are parsed once.
+    return stored(adjacency(rows.select(F.col("name").alias("law_name"), F.inline(F.array(*docs))), KEYS, "document"))
 
 
 def entry_table(nodes: DataFrame) -> DataFrame:
