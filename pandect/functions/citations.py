@@ -153,13 +153,14 @@ def sort_key(c: Column) -> Column:
     """Sortable form of a provision number: digits, then up to two suffixes.
 
     A letter counts in tens (A 10 to Z 260), a letter behind Z in ones (ZA 1 to
-    ZZ 26), so 3 < 3ZA < 3A < 3AB. Numbers above 999 keep all their digits.
+    ZZ 26), so 3 < 3ZA < 3A < 3AB. Numbers above 999 keep all their digits;
+    those that no 64-bit integer holds count as 0.
     """
     t = F.upper(F.trim(c))
     pattern = r"^(\d*)(Z[A-Z]|[A-Z])?(Z[A-Z]|[A-Z])?"
     suffix = lambda i: F.regexp_extract(t, pattern, i)
     rank = lambda s: F.when(s == "", 0).when(F.length(s) == 2, F.ascii(F.substring(s, 2, 1)) - 64).otherwise((F.ascii(s) - 64) * 10)
-    number = F.coalesce(F.expr("try_cast(NULL as bigint)"), filled(suffix(1)).cast("bigint"), F.lit(0))
+    number = F.coalesce(suffix(1).try_cast("bigint"), F.lit(0))
     made = F.format_string("%03d.%03d.%03d", number, rank(suffix(2)), rank(suffix(3)))
     return F.when(t.isNull() | (t == ""), SORT_ZERO).otherwise(made)
 

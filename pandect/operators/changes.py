@@ -65,7 +65,7 @@ def appended(log: Column, entry: Column) -> Column:
 
 def log_summary(log: Column) -> Column:
     n = F.size(log)
-    since = F.substring(log[0]["timestamp"], 1, 10)
+    since = F.substring(F.get(log, F.lit(0))["timestamp"], 1, 10)
     return F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, " update since ").otherwise(" updates since "), F.coalesce(since, F.lit("")))).otherwise("No change history")
 
 
