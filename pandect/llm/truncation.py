@@ -38,11 +38,12 @@ FDR = 0.01
 
 _INNER = BLANK.replace(r"\s", r" \t\x{0b}\f\r")
 _ZERO = r"\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}"
+#: Groups are repeated a bounded number of times only: the engine recurses for each.
 #: What senders put behind a cut, as it reads backwards: from the text's end a
 #: pattern can be anchored, so texts aren't searched for it.
-_MARKS = rf"\A(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:…|\.\.\.)\[|\)(?:\.?tnoc|deunitnoc|…|\.\.\.)\()+"
+_MARKS = rf"\A(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:…|\.\.\.)\[|\)(?:\.?tnoc|deunitnoc|…|\.\.\.)\(){{1,64}}"
 #: What follows a whole text: note marks, leaders, references, rulers.
-_NOTES = rf"(?:[{BLANK}]*+(?:\[[A-Z]?\d++\]|[. ]{{5,}}+(?:[A-Z]?\d++)?|\(\d++\)|\*++|[—–-]|\(see [^()]*+\)|[Ee]nd of document|[A-Z]\d++))*+"
+_NOTES = rf"(?:[{BLANK}]*+(?:\[[A-Z]?\d++\]|[. ]{{5,}}+(?:[A-Z]?\d++)?|\(\d++\)|\*++|[—–-]|\(see [^()]*+\)|[Ee]nd of document|[A-Z]\d++)){{0,64}}+"
 _SENTENCE = rf"[.!?][”’'\")\]]*+{_NOTES}\z"
 #: A full stop that ends no sentence: after an abbreviation of a reference, or inside a date or an amount.
 _ABBREVIATED = r"(?:^|[^\p{L}])(?:ss?|regs?|paras?|cols?|arts?|Schs?|Nos?|rheol)\.\z|(?:on \d{1,2}|\d{1,2}\.\d{1,2}|£[\d,]{1,20}|was \d{1,20})\.\z"
@@ -56,7 +57,7 @@ _LEAD_IN = r"[:—]\z"
 _SIGNED = r"Signed by [^\n]++(?:\n[^\n]++){1,3}\z"
 _ROW = r"(?:\A|\n)\d+ \| [^|\n]+ \| [^|\n]+ \| [^|\n]+\z"
 _CAP = r"\p{Lu}[\p{L}'’-]*"
-_HEADING = rf"\A(?:PART \d+[A-Z]? [\p{{Lu}} ]+|[^.\n]*\b(?:Act|Order|Rules|Regulations) \d{{4}}|{_CAP}(?: {_CAP}){{0,2}}: [\p{{L}} -]+|{_CAP}(?: (?:{_CAP}|of|and))* of \p{{Ll}}[\p{{Ll}} -]*)\z"
+_HEADING = rf"\A(?:PART \d+[A-Z]? [\p{{Lu}} ]+|[^.\n]*\b(?:Act|Order|Rules|Regulations) \d{{4}}|{_CAP}(?: {_CAP}){{0,2}}: [\p{{L}} -]+|{_CAP}(?: (?:{_CAP}|of|and)){{0,30}} of \p{{Ll}}[\p{{Ll}} -]*)\z"
 
 
 def unmarked(text: Column) -> Column:
@@ -72,7 +73,7 @@ def whole_sentence(c: Column) -> Column:
 def flat(c: Column) -> Column:
     """With single blanks and line ends, and none at the start."""
     flat = F.regexp_replace(c, rf"[{_INNER}]++", " ")
-    flat = F.regexp_replace(flat, r"(?: ?\n)+ ?", "\n")
+    flat = F.regexp_replace(flat, r" ?\n[ \n]*+", "\n")
     return F.regexp_replace(flat, r"\A[ \n]+", "")
 
 
