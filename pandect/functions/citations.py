@@ -117,7 +117,7 @@ def annotation_id(law: Column, kind: Column, number: Column) -> Column:
 
 def listed(c: Column) -> Column:
     """Comma-separated text as an array of its non-empty parts, null without any."""
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -35,7 +35,7 @@ def first_match(text: Column, vocabulary: Sequence[tuple[str, Sequence[str]]]) -
 def codes_of(c: Column) -> Column:
     """Codes in upper case from text that lists them with commas or semicolons,
     without the nations behind them, sorted and distinct."""
-    parts = F.transform(F.split(F.upper(c), "[;,]"), F.trim)
+    parts = F.transform(F.split(F.upper(c), "[;,]"), lambda x: F.trim(x))
     nations = ("ENGLAND AND WALES", "ENGLAND & WALES", "ENGLAND", "WALES", "SCOTLAND", "NORTHERN IRELAND", "")
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: ~x.isin(*nations))))
 

@@ -70,17 +70,13 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def refine(clause: str) -> str:
-    """One line from the start of the last sentence in it to the end of its
-    action, at most ``LONGEST_CLAUSE`` characters, cut at a word."""
-    text = " ".join(clause.split())
-    modal = None
-    for modal in MODAL.finditer(text):
-        pass
-    if modal:
-        start = max((m.end() for m in regex.finditer(r"[.;]\s+(?=\p{Lu})", text[: modal.start()])), default=0)
-        end = regex.search(r"[.;](?=\s|$)", text[modal.end() :])
-        text = text[start : modal.end() + end.end()] if end else text[start:]
+def refine(text: str, modal: tuple[int, int]) -> str:
+    """One line around a modal (its start and end): from the start of its
+    sentence to the end of its action, at most ``LONGEST_CLAUSE`` characters,
+    cut at a word."""
+    start = max((m.end() for m in regex.finditer(r"[.;]\s+(?=\p{Lu})", text[: modal[0]])), default=0)
+    end = regex.search(r"[.;](?=\s|$)", text[modal[1] :])
+    text = " ".join((text[start : modal[1] + end.end()] if end else text[start:]).split())
     if len(text) > LONGEST_CLAUSE:
         text = text[: LONGEST_CLAUSE - 3].rsplit(" ", 1)[0]
     return text if text.endswith((".", ";", "!", "?", ")")) else text.rstrip(" ,") + "..."
@@ -96,14 +92,15 @@ def clauses_in(text: str | None, library: Sequence[tuple[str, str]]) -> list[tup
         for kind, (government, modal) in KINDS.items():
             if government != governs(name):
                 continue
-            pattern = regex.compile(rf"(?:^|{EDGE})(?:{actor})(?={EDGE})[^—.]{{0,{BEFORE}}}?\b{modal}[,\s—]+(.{{1,{BEHIND}}})?", regex.S)
+            pattern = regex.compile(rf"(?:^|{EDGE})(?:{actor})(?={EDGE})[^—.]{{0,{BEFORE}}}?\b(?P<modal>{modal})[,\s—]+(?P<action>(?s:.){{1,{BEHIND}}})?")
             for a, b in windows(text):
-                for m in pattern.finditer(text, a, b):
-                    sentence = max(text.rfind(". ", 0, m.start()) + 1, 0)
-                    clause = refine(text[max(sentence, m.start() - 100) : m.end()])
+                # Overlapping matches: what one takes for its action may hold the next rule.
+                for m in pattern.finditer(text, a, b, overlapped=True):
+                    base = max(0, m.start() - 100)
+                    clause = refine(text[base : m.end()], (m.start("modal") - base, m.end("modal") - base))
                     key = (kind, clause.lower()[:100])
                     if key not in best or len(name) > len(best[key][0]):
-                        best[key] = (name, kind, clause, m.group(1) is not None)
+                        best[key] = (name, kind, clause, m.group("action") is not None)
     return sorted(best.values())
 
 
