@@ -42,41 +42,38 @@ def _hashes(columns: Sequence[str]) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def tree(rows: DataFrame, keys: Sequence[str], values: Sequence[str], by: Sequence[str] = (), levels: int = LEVELS, fanout: int = FANOUT) -> list[DataFrame]:
-    """Digests per level, the root first: ``by``, ``__node``, two digests.
+def tree(rows: DataFrame, keys: Sequence[str], values: Sequence[str], by: Sequence[str] = (), levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+    """Digests of all nodes: ``by``, ``__level`` (0 is the root), ``__node``, two digests.
 
     ``rows`` must be distinct in keys, values and ``by``. Leaves are combined
-    on the map side; every level above has at most 1/fanout of the nodes below.
+    on the map side; only their digests go on to the levels above.
     """
     a, b = _hashes([*keys, *values])
-    node = rows.select(*by, leaf_of(keys, levels, fanout).alias("__node"), a.alias(_A), b.alias(_B))
-    node = node.groupBy(*by, "__node").agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
-    out = [node]
-    for _ in range(levels):
-        node = node.select(*by, F.floor(F.col("__node") / fanout).cast("bigint").alias("__node"), _A, _B).groupBy(*by, "__node").agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
-        out.append(node)
-    return out[::-1]
-
-
-def _descend(levels: list[DataFrame], by: Sequence[str], fanout: int) -> DataFrame:
-    """Leaves below differing nodes only. Each level: by, __node, differs."""
-    changed = levels[0].where("__differs").select(*by, "__node")
-    for level in levels[1:]:
+    leaf = rows.select(*by, leaf_of(keys, levels, fanout).alias("__node"), a.alias(_A), b.alias(_B))
+    leaf = leaf.groupBy(*by, "__node").agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
+    places = F.array(*[F.struct(F.lit(n).alias("__level"), F.floor(F.col("__node") / F.lit(fanout ** (levels - n))).cast("bigint").alias("__at")) for n in range(levels + 1)])
+    node = leaf.select(*by, F.inline(places), _A, _B)
+    return node.groupBy(*by, "__level", F.col("__at").alias("__node")).agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
+
+
+def _descend(nodes: DataFrame, by: Sequence[str], levels: int, fanout: int) -> DataFrame:
+    """Leaves below differing nodes only; ``nodes`` are those that differ."""
+    level = lambda n: nodes.where(F.col("__level") == n).select(*by, "__node")
+    changed = level(0)
+    for n in range(1, levels + 1):
         parent = changed.select(*by, F.col("__node").alias("__parent"))
-        child = level.withColumn("__parent", F.floor(F.col("__node") / fanout).cast("bigint"))
-        changed = child.join(parent, [*by, "__parent"], "left_semi").where("__differs").select(*by, "__node")
+        child = level(n).withColumn("__parent", F.floor(F.col("__node") / fanout).cast("bigint"))
+        changed = child.join(parent, [*by, "__parent"], "left_semi").drop("__parent")
     return changed
 
 
 def changed_leaves(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
     """Leaf buckets (``__node``) whose rows differ between two snapshots."""
-    pairs = []
-    for o, n in zip(tree(old, keys, values, (), levels, fanout), tree(new, keys, values, (), levels, fanout), strict=True):
-        o = o.select("__node", F.col(_A).alias("__old_a"), F.col(_B).alias("__old_b"))
-        both = n.join(o, "__node", "full_outer")
-        differs = ~(F.col(_A).eqNullSafe(F.col("__old_a")) & F.col(_B).eqNullSafe(F.col("__old_b")))
-        pairs.append(both.select("__node", differs.alias("__differs")))
-    return _descend(pairs, (), fanout)
+    at = ["__level", "__node"]
+    o = tree(old, keys, values, (), levels, fanout).select(*at, F.col(_A).alias("__old_a"), F.col(_B).alias("__old_b"))
+    both = tree(new, keys, values, (), levels, fanout).join(o, at, "full_outer")
+    same = F.col(_A).eqNullSafe(F.col("__old_a")) & F.col(_B).eqNullSafe(F.col("__old_b"))
+    return _descend(stored(both.where(~same).select(*at)), (), levels, fanout)
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
@@ -132,14 +129,12 @@ def replay(deliveries: DataFrame, keys: Sequence[str], values: Sequence[str], sn
     # One row per content with the first snapshot that has it: partial aggregation before the shuffle.
     # It is stored: every level of the tree and the diff read it, and their plans stay small.
     first = stored(rows.groupBy(*cols).agg(F.min(snapshot).alias(snapshot)))
-    compared = []
-    for level in tree(first, keys, values, (snapshot,), levels, fanout):
-        w = Window.partitionBy("__node").orderBy(snapshot).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        state = level.withColumn("__now_a", F.bit_xor(_A).over(w)).withColumn("__now_b", F.bit_xor(_B).over(w))
-        before = Window.partitionBy("__node").orderBy(snapshot)
-        was = lambda c: F.coalesce(F.lag(c).over(before), F.lit(0))
-        compared.append(state.select(snapshot, "__node", ((F.col("__now_a") != was("__now_a")) | (F.col("__now_b") != was("__now_b"))).alias("__differs")))
-    leaves = _descend(compared, (snapshot,), fanout)
+    order = Window.partitionBy("__level", "__node").orderBy(snapshot)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = tree(first, keys, values, (snapshot,), levels, fanout).withColumn("__now_a", F.bit_xor(_A).over(upto)).withColumn("__now_b", F.bit_xor(_B).over(upto))
+    was = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
+    differing = state.withColumn("__was_a", was("__now_a")).withColumn("__was_b", was("__now_b")).where((F.col("__now_a") != F.col("__was_a")) | (F.col("__now_b") != F.col("__was_b")))
+    leaves = _descend(stored(differing.select(snapshot, "__level", "__node")), (snapshot,), levels, fanout)
     return first.withColumn("__node", leaf_of(keys, levels, fanout)).join(leaves, [snapshot, "__node"], "left_semi").drop("__node")
 
 
