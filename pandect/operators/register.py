@@ -23,11 +23,11 @@ def laws(table: DataFrame, *columns: str) -> DataFrame:
 
 
 def units(table: DataFrame, *columns: str) -> DataFrame:
-    return newest(table, "section_id", columns or table.columns).withColumn("law_name", law_key(F.col("law_name")))
+    return newest(table, "section_id", [*columns, "law_name"] if columns else table.columns).withColumn("law_name", law_key(F.col("law_name")))
 
 
 def annotations(table: DataFrame, *columns: str) -> DataFrame:
-    return newest(table, "id", columns or table.columns).withColumn("law_name", law_key(F.col("law_name")))
+    return newest(table, "id", [*columns, "law_name"] if columns else table.columns).withColumn("law_name", law_key(F.col("law_name")))
 
 
 def optional_search(df: DataFrame, family=None, year=None, type_code=None, status=None, text=None) -> DataFrame:
