@@ -41,7 +41,7 @@ _ZERO = r"\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}"
 #: Groups are repeated a bounded number of times only: the engine recurses for each.
 #: What senders put behind a cut, as it reads backwards: from the text's end a
 #: pattern can be anchored, so texts aren't searched for it.
-_MARKS = rf"\A(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:…|\.\.\.)\[|\)(?:\.?tnoc|deunitnoc|…|\.\.\.)\(){{1,64}}"
+_MARKS = rf"\A(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:…|\.\.\.|erom)\[|\)(?:\.?tnoc|deunitnoc|…|\.\.\.)\(){{1,64}}"
 #: What follows a whole text: note marks, leaders, references, rulers.
 _NOTES = rf"(?:[{BLANK}]*+(?:\[[A-Z]?\d++\]|[. ]{{5,}}+(?:[A-Z]?\d++)?|\(\d++\)|\*++|[—–-]|\(see [^()]*+\)|[Ee]nd of document|[A-Z]\d++)){{0,64}}+"
 _SENTENCE = rf"[.!?][”’'\")\]]*+{_NOTES}\z"

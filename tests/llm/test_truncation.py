@@ -19,6 +19,7 @@ WHOLE = [
     "Text.\nSigned by authority of the Board\nA Name\nDunlath, 8 May 2003",
     "Text.\r\nSigned by authority of the Board\r\nA Name\r\nRegistrar of Tallies",
     "Payable under reg. 3.",
+    "Kept by the Board. [more]",
 ]
 EITHER = ["(a) clean each kiln; and", "Text. (g) clean each kiln in accordance with art. 34 of the Act;", "The lessee must—", "It shall keep records of:", "PART 7 KILNS", "The Kilns (Fees) Order 1999", "Llanfedw: kiln and hoist", "Keeping of Records of hoists", "Text. (b) mark it, neu"]
 CUT = [
@@ -35,6 +36,7 @@ CUT = [
     "Text. The lessee must[...]",
     "Text. Rhaid i'r ",
     "The lessee must >>",
+    "Kept under reg. [more]",
 ]
 
 
