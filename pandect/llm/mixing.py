@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pandect.functions.text import TOKEN, source_key, token_count
+from pandect.functions.text import TOKEN, source_key
 from pandect.plans.cut import cut
 
 TRAIN_PER_DOMAIN = 2_000
@@ -62,6 +62,11 @@ def _sized(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.nullif(source_key(F.col("source")), F.lit("")).alias("label"), "text")
 
 
+def _hashed(text: Column, buckets: int) -> Column:
+    """Bucket of every token in any case; null for null. Its size is the number of tokens."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.pmod(F.xxhash64(F.lower(t)), F.lit(buckets)).cast("smallint"))
+
+
 def train(documents: DataFrame, domains: list[str], per_domain: int = TRAIN_PER_DOMAIN, buckets: int = BUCKETS) -> np.ndarray:
     """Log likelihoods, domains x buckets, from a bounded labelled sample.
 
@@ -73,8 +78,8 @@ def train(documents: DataFrame, domains: list[str], per_domain: int = TRAIN_PER_
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("label", "doc_id").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_domain)
     sample = labelled.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    tokens = sample.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
-    counted = tokens.groupBy("label", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+    tokens = sample.select("label", F.explode(_hashed(F.col("text"), buckets)).alias("bucket"))
+    counted = tokens.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.full((len(domains), buckets), 0.5)
     place = {d: i for i, d in enumerate(domains)}
     for r in counted:
@@ -86,8 +91,7 @@ def posteriors(documents: DataFrame, domains: list[str], likelihood: np.ndarray,
     """``doc_id, label, tokens, posterior`` (over ``domains`` in order)."""
     buckets, k = likelihood.shape[1], len(domains)
     place = {d: i for i, d in enumerate(domains)}
-    hashed = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("smallint"))
-    rows = _sized(documents).select("doc_id", "label", token_count(F.col("text")).cast("bigint").alias("tokens"), hashed.alias("hashed"))
+    rows = _sized(documents).select("doc_id", "label", F.coalesce(_hashed(F.col("text"), buckets), F.array().cast("array<smallint>")).alias("hashed"))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,7 +106,7 @@ def posteriors(documents: DataFrame, domains: list[str], likelihood: np.ndarray,
             logp[at, own.iloc[at].astype(int)] += np.log(1 - noise) - wrong
             p = np.exp(logp - logp.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "tokens": b["tokens"], "posterior": list(p)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "tokens": b["hashed"].map(len), "posterior": list(p)})
 
     return rows.mapInPandas(predict, "doc_id bigint, label string, tokens bigint, posterior array<double>")
 
