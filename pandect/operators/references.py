@@ -31,6 +31,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pandect.plans.cut import stored
+
 MATCHES = ("simple", "partial", "full")
 
 
@@ -76,11 +78,15 @@ def orphans(references: DataFrame, records: DataFrame, keys: Sequence[str], matc
             out.append(part.withColumn("kind", F.lit("missing")))
             continue
         on = [k for i, k in enumerate(keys) if not mask >> i & 1]
-        states = key_states(records, removed, on, arrived, removed_at)
+        # Stored, the states are shuffled on their own by each join, which lets AQE split a key
+        # that holds a third of all references; straight from the aggregation it can't.
+        states = stored(key_states(records, removed, on, arrived, removed_at))
         good = states.where("__exists and not __deleted").select(*[F.col(k).alias(f"__{k}") for k in on], F.col("__first").alias("__seen"))
         same = [F.col(k) == F.col(f"__{k}") for k in on]
         in_time = F.coalesce(F.col("__seen") <= F.col(arrived).cast("timestamp_ntz"), F.lit(True))
         unmet = part.join(good, [*same, in_time], "left_anti")
+        # Orphans are spread anew for the same reason: the joins must not share one partitioning.
+        unmet = unmet.repartition(F.xxhash64(*unmet.columns))
         kind = F.when(F.col("__deleted"), "deleted").when(F.col("__exists"), "late").otherwise("missing")
         out.append(unmet.join(states, on, "left").withColumn("kind", kind).drop("__first", "__exists", "__deleted"))
     return reduce(DataFrame.unionByName, out)
