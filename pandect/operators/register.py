@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pandect.functions.keys import law_key
 from pandect.operators.filters import all_of, equal_if, search
+from pandect.plans.cut import stored
 from pandect.plans.newest import newest
 
 #: The statuses of a law as the register labels them. Fixed values.
@@ -129,18 +131,32 @@ def entries_queue(entry_rows: DataFrame, threshold: float) -> DataFrame:
     return entry_rows.where(F.col("confidence").isNull() | (F.col("confidence") < threshold)).select("law_name", F.col("field").alias("source_column"), F.col("entry_no").alias("entry_index"), F.col("article").alias("provision"), F.lower("duty_type").alias("kind"), F.col("item").alias("holder"), "clause", "confidence")
 
 
+#: Stretches of values per group in which exact ranks are counted separately.
+RANK_STRETCHES = 64
+
+
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[int]) -> DataFrame:
     """Percentiles at the nearest lower rank, ``trunc(p / 100 * (n - 1))`` of the
     sorted values, with least and greatest.
 
-    Ranks come from a window over counted distinct values, not from collected
-    lists: a group is ordered on disk if need be.
+    Approximate quantiles cut every group into stretches of about equal size;
+    they only place the cuts. Exact counts of the stretches lead to the one that
+    holds a rank, and values are ranked within their stretch, so no task sorts
+    a whole group.
     """
-    from pyspark.sql import Window
-
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__upto", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
-    at = lambda p: F.floor(F.lit(p) / 100 * (F.col("__all") - 1))
-    hit = lambda p: F.max(F.when((F.col("__upto") - F.col("__n") <= at(p)) & (at(p) < F.col("__upto")), F.col(value))).alias(f"p{p}")
-    return ranked.groupBy(*keys).agg(*[hit(p) for p in points], F.min(value).alias("least"), F.max(value).alias("greatest"), F.max("__all").alias("n"))
+    rows = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
+    at = F.array(*[F.lit(i / RANK_STRETCHES) for i in range(1, RANK_STRETCHES)])
+    names = [f"__k{i}" for i in range(len(keys))]
+    renamed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    cuts = stored(rows.groupBy(*renamed).agg(F.percentile_approx("__v", at, F.lit(1_000)).alias("__cuts")))
+    placed = rows.join(cuts, same).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+    counted = placed.groupBy(*keys, "__b", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*names).orderBy("__bb")
+    sums = counted.groupBy(*renamed, F.col("__b").alias("__bb")).agg(F.sum("__n").alias("__sum"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__sum").over(Window.partitionBy(*names)))
+    run = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__in", F.sum("__n").over(run)).join(sums, same & (F.col("__b") == F.col("__bb"))).withColumn("__upto", F.col("__before") + F.col("__in"))
+    rank = lambda p: F.floor(F.lit(p) / 100 * (F.col("__all") - 1))
+    hit = lambda p: F.max(F.when((F.col("__upto") - F.col("__n") <= rank(p)) & (rank(p) < F.col("__upto")), F.col("__v"))).alias(f"p{p}")
+    return ranked.groupBy(*keys).agg(*[hit(p) for p in points], F.min("__v").alias("least"), F.max("__v").alias("greatest"), F.max("__all").alias("n"))

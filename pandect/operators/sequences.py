@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
-    """1-based number of each row within its keys."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", stretch: Column | None = None) -> DataFrame:
+    """1-based number of each row within its keys.
+
+    ``stretch`` is a coarse value that rises with the order (such as the first
+    digits of a sort key): then rows are numbered within stretches, and
+    stretches by their counts, so no task needs all rows of a heavy key.
+    """
+    if stretch is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = df.withColumn("__s", stretch)
+    inside = F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(*order))
+    along = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))]).orderBy(F.col("__t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__s").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__s").eqNullSafe(F.col("__t"))]
+    out = rows.withColumn("__i", inside).join(counts, same)
+    return out.select(*df.columns, (F.col("__i") + F.col("__before")).cast("int").alias(name))
 
 
 def disambiguated(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -34,10 +48,21 @@ def inverted(df: DataFrame, key: str, refs: str, order: str) -> DataFrame:
     return one.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", key))), lambda x: x[key]).alias("keys"))
 
 
-def inherited(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """The last value given at or before each row, as headings apply to what follows."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def inherited(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, stretch: Column | None = None) -> DataFrame:
+    """The last value given at or before each row, as headings apply to what
+    follows; ``stretch`` as in ``numbered``: the last value of the stretches
+    before carries over."""
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if stretch is None:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(*keys)))
+    rows = df.withColumn("__s", stretch)
+    inside = F.last(value, ignorenulls=True).over(upto(*keys, "__s"))
+    place = F.struct(*[F.struct(F.col(o).isNotNull().alias("a"), F.col(o).alias("b")) for o in order])
+    ends = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__s").alias("__t")).agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("__last"))
+    along = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))]).orderBy(F.col("__t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(along)).drop("__last")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__s").eqNullSafe(F.col("__t"))]
+    return rows.withColumn("__in", inside).join(ends, same).select(*df.columns, F.coalesce("__in", "__carried").alias(name))
 
 
 def merged_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

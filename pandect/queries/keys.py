@@ -61,11 +61,11 @@ QUERIES = {
     "extent_codes": _laws(lambda x: x.select("name", X.code_of_xml(F.col("geo_extent")).alias("code"), F.array_join(X.nations(X.compact(F.col("geo_extent"))), ",").alias("nations"), X.pan_region(X.nations(X.compact(F.col("geo_extent")))).alias("pan"), X.code_of_region(F.array_join(X.nations(X.compact(F.col("geo_extent"))), " and ")).alias("from_words"))),
     "geography": _units(lambda u: X.geography(u).select("law_name", F.array_join("extents", "|").alias("extents"), F.array_join("geo_region", "|").alias("regions"), "geo_pan_region")),
     "parallel_provisions": _units(lambda u: sequences.parallel(u, ["law_name", "provision"], "extent_code")),
-    "unit_numbers": _units(lambda u: sequences.numbered(u, ["law_name"], ["sort_key", "section_id"], "n").select("section_id", "n")),
+    "unit_numbers": _units(lambda u: sequences.numbered(u, ["law_name"], ["sort_key", "section_id"], "n", F.substring("sort_key", 1, 3)).select("section_id", "n")),
     "annotation_numbers": _notes(lambda a: sequences.numbered(a, ["law_name", "code_type"], ["id"], "n").select("id", C.annotation_id(F.col("law_name"), F.col("code_type"), F.col("n")).alias("numbered"))),
     "unique_citations": _units(lambda u: sequences.disambiguated(u.withColumn("k", F.concat_ws(":", "law_name", "section_type", "provision")), "k", "position").select("section_id", "unique_key")),
     "sections_by_reference": _notes(lambda a: sequences.inverted(a, "id", "affected_sections", "created_at").select("ref", F.size("keys").cast("bigint").alias("n"))),
-    "inherited_headings": _units(lambda u: sequences.inherited(u.withColumn("h", F.when(F.col("section_type") == "heading", F.col("text"))), ["law_name"], ["position", "section_id"], "h", "heading").select("section_id", "heading")),
+    "inherited_headings": _units(lambda u: sequences.inherited(u.withColumn("h", F.when(F.col("section_type") == "heading", F.col("text"))), ["law_name"], ["position", "section_id"], "h", "heading", F.floor(F.col("position") / 256)).select("section_id", "heading")),
     "merged_ranges": _units(lambda u: sequences.merged_ranges(u.where("position is not null").select("law_name", F.col("position").alias("a"), (F.col("position") + F.length("text") % 3).alias("b")), ["law_name"], "a", "b")),
 }
 

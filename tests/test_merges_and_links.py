@@ -100,3 +100,20 @@ def test_vocabularies(spark):
     assert [tuple(r) for r in got] == [("W", True, None), (None, False, None), (None, False, None)]
     codes = spark.createDataFrame([("water, england and wales; fire ",), (None,)], "c string").select(matching.codes_of(F.col("c")).alias("c"))
     assert [r[0] for r in codes.collect()] == [["FIRE", "WATER"], None]
+
+
+def test_stretches_change_nothing(spark):
+    data = [("hot" if i % 3 else None, None if i == 7 else i * 37 % 101, f"h{i}" if i % 9 == 0 else None) for i in range(150)]
+    df = spark.createDataFrame(data, "k string, o int, v string")
+    for s in (F.lit(0), F.floor(F.col("o") / 10), F.col("o")):
+        assert rows(sequences.numbered(df, ["k"], ["o", "v"], "n", s)) == rows(sequences.numbered(df, ["k"], ["o", "v"], "n"))
+        got = sequences.inherited(df.where("o is not null").dropDuplicates(["k", "o"]), ["k"], ["o"], "v", "w", s)
+        assert rows(got) == rows(sequences.inherited(df.where("o is not null").dropDuplicates(["k", "o"]), ["k"], ["o"], "v", "w"))
+
+
+def test_percentiles_of_many_values(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") * 7919 % 10_007).alias("v"))
+    got = {r["k"]: r for r in register.percentile_rank(df, ["k"], "v", [0, 50, 99, 100]).collect()}
+    for k in (0, 1):
+        v = sorted(i * 7919 % 10_007 for i in range(20_000) if i % 2 == k and i % 5)
+        assert [got[k][f"p{p}"] for p in (0, 50, 99, 100)] == [v[int(p / 100 * (len(v) - 1))] for p in (0, 50, 99, 100)]
