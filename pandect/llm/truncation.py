@@ -13,7 +13,8 @@ Two sources of evidence are combined:
   row, list item or lead-in; else it stops inside a word or sentence.
 
 At a field limit everything but the end of a sentence, a table or a signature
-is incomplete: an item or lead-in that ends exactly there was cut there. Cuts
+is incomplete: an item or lead-in that ends exactly there was cut there, if so
+many texts end there that next to none of them does by itself. Cuts
 in transfer come at any length, where no hazard can stand out; there only
 endings that no whole text has count. So lengths alone flag nothing and
 hazards can't find all cuts: the ending decides, the hazard decides for the
@@ -127,10 +128,13 @@ def judged(documents: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.array(flat(F.col("bare")))).alias("core")).drop("bare")
     rows = rows.select("*", F.explode(F.array(ending(F.col("core")))).alias("ending")).where("ending in ('cut', 'either')")
     rows = rows.select("doc_id", "source_name", "ending", "chars", "bytes", F.xxhash64("core").alias("h"), F.xxhash64(F.lit(1), "core").alias("g"))
-    known = limits(documents).select("source_name", "measure", F.col("length").cast("int").alias("length"))
-    at = lambda m: known.where(F.col("measure") == m).select("source_name", F.col("length").alias(m), F.lit(True).alias(f"at_{m}"))
+    # At a limit next to no text ends by itself: of those that end there, the expected ones are below the FDR too.
+    known = limits(documents).select("source_name", "measure", F.col("length").cast("int").alias("length"), (F.col("expected") <= F.lit(FDR) * F.col("ended")).alias("sure"))
+    at = lambda m: known.where(F.col("measure") == m).select("source_name", F.col("length").alias(m), F.lit(True).alias(f"at_{m}"), F.col("sure").alias(f"sure_{m}"))
     rows = rows.join(at("chars"), ["source_name", "chars"], "left").join(at("bytes"), ["source_name", "bytes"], "left")
-    rows = rows.withColumn("limited", F.coalesce("at_chars", "at_bytes", F.lit(False)))
+    sure = F.coalesce("sure_chars", F.lit(False)) | F.coalesce("sure_bytes", F.lit(False))
+    limited = F.coalesce("at_chars", "at_bytes", F.lit(False))
+    rows = rows.withColumn("limited", F.when(F.col("ending") == "either", sure).otherwise(limited))
     # Copies of a text that was cut at its source's limit, wherever they came from.
     cut_texts = rows.where("ending = 'either' and limited").groupBy("h", "g").agg(F.lit(True).alias("copied"))
     rows = rows.join(cut_texts, ["h", "g"], "left")
