@@ -30,3 +30,8 @@ def utc_text(us: Column) -> Column:
     rest = F.pmod(seconds, F.lit(86_400))
     two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(F.pmod(rest, F.lit(3600)) / 60)), F.lit(":"), two(F.pmod(rest, F.lit(60))))
+
+
+def iso_or(c: Column, now_micros: int, days: int = 30) -> Column:
+    """``iso_micros``, or so many days before now for unreadable and missing text."""
+    return F.coalesce(iso_micros(c), F.lit(now_micros - days * 86_400_000_000))

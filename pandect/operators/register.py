@@ -103,6 +103,14 @@ def work_queue(law_rows: DataFrame, unit_rows: DataFrame, reason: str | None = N
     return out if reason is None else out.where(F.col("queue_reason") == reason)
 
 
+def queue_from_counts(law_rows: DataFrame, days: int = 180) -> DataFrame:
+    """The queue as a client derives it from counts kept with each law
+    (``unit_count``, ``latest_unit``): stale after fixed days, whatever the law does."""
+    n = F.coalesce("unit_count", F.lit(0))
+    stale = F.col("updated_at") > F.col("latest_unit") + F.make_dt_interval(F.lit(days))
+    return law_rows.withColumn("queue_reason", F.when(n == 0, "missing").when(stale, "stale")).where(F.col("queue_reason").isNotNull())
+
+
 def queue_counts(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("queue_reason") == "missing").alias("missing_count"), F.count_if(F.col("queue_reason") == "stale").alias("stale_count"))
 

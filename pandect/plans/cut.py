@@ -37,7 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` from a Parquet table that is written once in the shared folder."""
+    """``df`` from a Parquet table that is written once in the shared folder and
+    goes when the driver ends."""
     place = f"{shared_folder(df.sparkSession).rstrip('/')}/pandect-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(place)

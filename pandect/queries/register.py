@@ -100,6 +100,7 @@ QUERIES = {
     "work_queue_missing": _all(lambda x, u, a: register.work_queue(x, u, "missing").select("law_name", "queue_reason")),
     "work_queue_stale": _all(lambda x, u, a: register.work_queue(x, u, "stale").select("law_name", "law_updated_at", "latest_unit_updated_at")),
     "work_queue_counts": _all(lambda x, u, a: register.queue_counts(register.work_queue(x, u))),
+    "client_queue": _all(lambda x, u, a: register.queue_from_counts(x.join(register.unit_stats(u), F.col("id") == F.col("law_id"), "left")).select("name", "queue_reason")),
     "law_summary": _all(lambda x, u, a: register.law_summary(x, u, a)),
     "law_summary_search": _all(lambda x, u, a: register.law_summary(x, u, a, text="tramway", type_code="uksi")),
     "incremental_units": _all(lambda x, u, a: register.changed_since(u, x, SINCE).select("section_id", "law_name", "law_title", "law_type_code", "law_year", "updated_at")),
@@ -179,6 +180,7 @@ ORACLE = {
     "work_queue_missing": f"{_QUEUE} SELECT law_name, queue_reason FROM q WHERE queue_reason = 'missing'",
     "work_queue_stale": f"{_QUEUE} SELECT law_name, law_updated_at, latest_unit_updated_at FROM q WHERE queue_reason = 'stale'",
     "work_queue_counts": f"{_QUEUE} SELECT count(*) AS total, count(*) FILTER (WHERE queue_reason = 'missing') AS missing_count, count(*) FILTER (WHERE queue_reason = 'stale') AS stale_count FROM q WHERE queue_reason IS NOT NULL",
+    "client_queue": f"{_QUEUE}, c AS (SELECT name, CASE WHEN coalesce(unit_count, 0) = 0 THEN 'missing' WHEN nl.updated_at > latest_unit + INTERVAL 180 DAY THEN 'stale' END AS queue_reason FROM nl LEFT JOIN agg ON agg.law_id = nl.id) SELECT * FROM c WHERE queue_reason IS NOT NULL",
     "law_summary": f"{_SUMMARY} SELECT * FROM s",
     "law_summary_search": f"{_SUMMARY} SELECT * FROM s WHERE type_code = 'uksi' AND (title_en ILIKE '%tramway%' OR law_name ILIKE '%tramway%')",
     "incremental_units": f"WITH {NL}, {NU} SELECT section_id, law_name, nl.title_en AS law_title, nl.type_code AS law_type_code, nl.year AS law_year, nu.updated_at FROM nu JOIN nl ON nl.id = nu.law_id WHERE nu.updated_at >= TIMESTAMP '{SINCE}'",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -101,3 +101,10 @@ def notify(batch: DataFrame, table: str, action: Callable[[DataFrame], Column] |
     """One notification per batch and operation, to be written by the caller."""
     kind = F.col("operation") if action is None else action(batch)
     return batch.groupBy(kind.alias("action")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(table))
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows, and those without operation, as it is read:
+    the counters cost no pass of their own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("operation").isNull()).alias("control")), seen

@@ -11,7 +11,7 @@ from pandect.functions import taxa
 from pandect.functions import titles as T
 from pandect.functions.keys import law_key
 from pandect.functions.text import squeeze_blanks, strip_blanks, token_count
-from pandect.functions.times import iso_micros, utc_text
+from pandect.functions.times import iso_micros, iso_or, utc_text
 from pandect.operators import roles
 
 
@@ -56,6 +56,7 @@ def test_nations_and_regions(spark):
 def test_times(spark):
     cases = ["2022-01-01T00:30:00+01:00", "2022-01-01 00:30:00.5", "2022-01-01T00:30:00.123456Z", "2022-01-01", "2022-02-30 00:00:00", "unknown", "", None]
     assert of(spark, cases, lambda c: utc_text(iso_micros(c))) == ["2021-12-31 23:30:00", "2022-01-01 00:30:00", "2022-01-01 00:30:00", "2022-01-01 00:00:00", None, None, None, None]
+    assert of(spark, ["no", "1970-01-01"], lambda c: iso_or(c, 30 * 86_400_000_000 + 5)) == [5, 0]
     assert of(spark, [-1, 0], utc_text, "bigint") == ["1969-12-31 23:59:59", "1970-01-01 00:00:00"]
 
 

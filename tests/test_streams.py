@@ -50,3 +50,8 @@ def test_counts(spark):
     batch = spark.createDataFrame([("a", "insert", 20), ("b", "delete", 30), ("c", "insert", 1), ("a", "update", 40)], "k string, operation string, at bigint")
     assert rows(S.add_counts(have, batch, "k", "at")) == [("a", 3, 40), ("c", 1, 1)]
     assert {tuple(r) for r in S.notify(batch, "t").collect()} == {("insert", 2, "t"), ("delete", 1, "t"), ("update", 1, "t")}
+
+
+def test_counters_come_with_the_rows(spark):
+    df, seen = S.counted(spark.createDataFrame([("a", 1, 1, "insert"), (None, None, 2, None)], MSG), "batch")
+    assert df.count() == 2 and seen.get == {"rows": 2, "control": 1}
