@@ -37,6 +37,21 @@ def latest_related_date(laws: DataFrame, kind: str, date: str = "md_date", only:
     return base.select("name").join(found.withColumnRenamed("src", "name"), "name", "left")
 
 
+def latest_date_of(links: DataFrame, laws: DataFrame, name: str, date: str = "md_date") -> DataFrame:
+    """``name`` (of ``src``) and the greatest date of the laws it is linked to (``src, dst``)."""
+    dated = links.select("src", "dst").distinct().join(laws.select(F.col("name").alias("dst"), F.col(date).alias("__d")), "dst")
+    return dated.groupBy(F.col("src").alias("name")).agg(F.max("__d").alias(name))
+
+
+def with_derived_dates(laws: DataFrame, changes: DataFrame) -> DataFrame:
+    """Laws with ``latest_amend_date``, of the laws they say amend them, and
+    ``latest_rescind_date``, of the laws whose changes revoke something of them
+    (``changes``: ``law_name, item, affect``)."""
+    gone = changes.where(is_revocation(F.col("affect")) & (F.col("item") != F.col("law_name"))).select(F.col("law_name").alias("src"), F.col("item").alias("dst"))
+    amend = latest_date_of(edges(laws, ["amended_by"]), laws, "latest_amend_date")
+    return laws.join(amend, "name", "left").join(latest_date_of(gone, laws, "latest_rescind_date"), "name", "left")
+
+
 def dependants(laws: DataFrame, changed: DataFrame, kind: str) -> DataFrame:
     """Laws whose list names one of the changed ones: what must be derived anew."""
     hit = edges(laws, [kind]).join(changed.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi")

@@ -118,3 +118,8 @@ def entities(nodes: DataFrame, keys: Sequence[str], objects, labels: Sequence[st
     pivoted = leaf.groupBy(*keys, F.col("parent").alias("node")).agg(*[F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(f"__{x}") for x in labels])
     joined = own.join(pivoted, [*keys, "node"], "left")
     return joined.select(*keys, "node", "parent", "label", "ordinal", "path", *[F.col(f"__{x}").alias(f"field_{x}") for x in labels])
+
+
+def census(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How often each path holds each kind of value: what shapes a column really has."""
+    return nodes.groupBy(*keys, "path", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandect.operators import changes, edges, law_documents, register
+from pandect.operators import changes, edges, law_documents, register, shredding, views
 from pandect.queries.problems import _DOCS
 from pandect.queries.sql import NL, key_sql, strip_sql
 from pandect.sources.tables import table
 
+#: A day in the middle of the years of the amending laws, so that views of short periods hold some.
+AS_OF = "2015-08-20"
 LAW = ["title_en", "family", "live", "geo_extent", "function", "md_date", "amending", "amended_by", "linked_amending"]
 DIFFED = ["title_en", "family", "live", "geo_extent", "md_date", "amending"]
 
@@ -64,7 +66,29 @@ def _log(spark, d):
     return register.laws(table(spark, d, "uk_lrt"), "record_change_log").select("name", F.coalesce(F.size("record_change_log"), F.lit(0)).alias("n"), changes.log_summary(F.col("record_change_log")).alias("log"))
 
 
+def _dated(spark, d):
+    laws = register.laws(table(spark, d, "uk_lrt"), *LAW, "type_code")
+    return edges.with_derived_dates(laws, law_documents.detail_table(law_documents.law_nodes(table(spark, d, "uk_lrt"))))
+
+
+def _census(spark, d):
+    nodes = law_documents.law_nodes(table(spark, d, "uk_lrt")).where("field <> 'affected_by_stats_per_law'")
+    return shredding.census(nodes.where("node = 0"), ["field"]).select("field", "kind", "n")
+
+
+def _element_counts(x):
+    """Laws that refer to an existing law at all, and references per referred law of a type."""
+    refs = edges.edges(x, ["amending", "amended_by"])
+    known = refs.join(x.select(F.col("name").alias("dst")), "dst", "left_semi")
+    return known.groupBy("kind", F.split("dst", "_")[1].alias("type")).agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("src").alias("n_laws"))
+
+
+_DATED_VIEWS = [v for v in views.VIEWS if v.startswith(("amended_", "repealed_"))]
 QUERIES = {
+    **{f"view_{v}": lambda spark, d, v=v: views.build(_dated(spark, d), v, AS_OF) for v in _DATED_VIEWS},
+    "derived_dates": lambda spark, d: _dated(spark, d).select("name", "latest_amend_date", "latest_rescind_date"),
+    "json_census": _census,
+    "element_counts": _laws(_element_counts),
     "law_edges": _laws(lambda x: edges.edges(x, ["amending", "amended_by", "linked_amending"])),
     "latest_related_date": _laws(lambda x: edges.latest_related_date(x, "amended_by")),
     "dependants_of_changed": _laws(lambda x: edges.dependants(x, x.where("md_date >= date'2015-01-01'").select("name"), "amended_by")),
@@ -140,7 +164,23 @@ SELECT t.name, coalesce(summary, 'No changes') AS summary, field, old_value, new
 FROM t LEFT JOIN s ON s.name = t.name LEFT JOIN d ON d.name = t.name"""
 
 
+_DATED = f"""{_CHANGES}, raw AS (SELECT name AS src, unnest(amended_by) AS x FROM nl), am AS (SELECT DISTINCT src, {key_sql("x")} AS dst FROM raw), ad AS (SELECT src, max(md_date) AS latest_amend_date FROM am JOIN nl ON nl.name = dst GROUP BY 1),
+rd AS (SELECT law_name AS src, max(md_date) AS latest_rescind_date FROM (SELECT DISTINCT law_name, item FROM fl WHERE gone AND NOT own) JOIN nl ON nl.name = item GROUP BY 1),
+dated AS (SELECT nl.name, title_en, type_code, live, family, latest_amend_date, latest_rescind_date FROM nl LEFT JOIN ad ON ad.src = nl.name LEFT JOIN rd ON rd.src = nl.name)"""
+
+
+def _view_sql(name: str) -> str:
+    v, at = views.VIEWS[name], views.calendar(AS_OF)
+    live = ", ".join(f"'{x}'" for x in v.statuses)
+    end = f"AND {v.date} < DATE '{at[v.end]}'" if v.end else ""
+    return f"{_DATED} SELECT name, title_en, type_code, live, family, {v.date}, CAST(year({v.date}) AS INT) AS {v.date}_year, CAST(month({v.date}) AS INT) AS {v.date}_month FROM dated WHERE {v.date} > DATE '{at[v.start]}' {end} AND live IN ({live})"
+
+
 ORACLE = {
+    **{f"view_{v}": _view_sql(v) for v in _DATED_VIEWS},
+    "derived_dates": f"{_DATED} SELECT name, latest_amend_date, latest_rescind_date FROM dated",
+    "json_census": f"{_DOCS} SELECT field, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'string' END AS kind, count(*) AS n FROM opened GROUP BY 1, 2",
+    "element_counts": f"{_EDGES} SELECT kind, string_split(dst, '_')[2] AS type, count(*) AS n_refs, count(DISTINCT src) AS n_laws FROM e WHERE kind <> 'linked_amending' AND dst IN (SELECT name FROM nl) GROUP BY 1, 2",
     "law_edges": f"{_EDGES} SELECT * FROM e",
     "latest_related_date": f"{_EDGES} SELECT nl.name, max(o.md_date) AS latest FROM nl LEFT JOIN e ON e.src = nl.name AND kind = 'amended_by' LEFT JOIN nl o ON o.name = e.dst GROUP BY 1",
     "dependants_of_changed": f"{_EDGES}, {_DEP} SELECT * FROM dep",
