@@ -95,7 +95,7 @@ QUERIES = {
     "section_counts": _units(lambda u: register.counts_by(u, "section_type"), "law_name", "section_type"),
     "code_counts": _notes(lambda a: register.counts_by(a, "code_type"), "law_name", "code_type"),
     "stats_row": lambda spark, d: register.table_stats(table(spark, d, "lat"), table(spark, d, "amendment_annotations")),
-    "law_marks": _laws(lambda x: x.select("name", F.array_sort(F.map_keys("function")).alias("marks"), F.array_sort(F.map_keys(F.map_filter("function", lambda k, v: v))).alias("true_marks"))),
+    "law_marks": _laws(lambda x: x.select("name", F.array_join(F.array_sort(F.map_keys("function")), "|").alias("marks"), F.array_join(F.array_sort(F.map_keys(F.map_filter("function", lambda k, v: v))), "|").alias("true_marks"))),
     "work_queue": _all(lambda x, u, a: register.work_queue(x, u).drop("marks")),
     "work_queue_missing": _all(lambda x, u, a: register.work_queue(x, u, "missing").select("law_name", "queue_reason")),
     "work_queue_stale": _all(lambda x, u, a: register.work_queue(x, u, "stale").select("law_name", "law_updated_at", "latest_unit_updated_at")),
@@ -110,7 +110,7 @@ QUERIES = {
     "entries_queue": lambda spark, d: register.entries_queue(law_documents.entry_table(law_documents.law_nodes(table(spark, d, "uk_lrt"))), 0.5),
     "json_values": lambda spark, d: table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")),
     "percentile_report": lambda spark, d: register.percentile_rank(table(spark, d, "events"), ["event_type"], "value", [50, 95, 99]),
-    "text_lengths": _units(lambda u: register.percentile_rank(u.select("section_type", F.length("text").alias("characters")), ["section_type"], "characters", [50, 95, 99]), "law_name", "section_type", "text"),
+    "text_lengths": _units(lambda u: register.percentile_rank(u.select("section_type", F.length("text").cast("bigint").alias("characters")), ["section_type"], "characters", [50, 95, 99]), "law_name", "section_type", "text"),
     **{f"view_{v}": _laws(lambda x, v=v: views.build(x, v, AS_OF)) for v in views.VIEWS if v.startswith(("new_", "by_"))},
     **{f"group_{v}": _laws(lambda x, v=v: views.grouped(x, v, AS_OF)) for v in ("new_last_3_years", "by_family", "by_status", "by_type", "by_extent")},
 }
@@ -175,7 +175,7 @@ ORACLE = {
     "section_counts": f"WITH {NU} SELECT section_type, count(*) AS n FROM nu GROUP BY 1",
     "code_counts": f"WITH {NA} SELECT code_type, count(*) AS n FROM na GROUP BY 1",
     "stats_row": f"SELECT (SELECT count(*) FROM lat) AS total_units, (SELECT count(DISTINCT {key_sql('law_name')}) FROM lat) AS laws_with_units, (SELECT count(*) FROM amendment_annotations) AS total_annotations, (SELECT count(DISTINCT {key_sql('law_name')}) FROM amendment_annotations) AS laws_with_annotations",
-    "law_marks": f"WITH {NL} SELECT name, list_sort(map_keys(function)) AS marks, CASE WHEN function IS NOT NULL THEN list_sort(list_filter(map_keys(function), lambda k: function[k])) END AS true_marks FROM nl",
+    "law_marks": f"WITH {NL} SELECT name, array_to_string(list_sort(map_keys(function)), '|') AS marks, CASE WHEN function IS NOT NULL THEN array_to_string(list_sort(list_filter(map_keys(function), lambda k: function[k])), '|') END AS true_marks FROM nl",
     "work_queue": f"{_QUEUE} SELECT * FROM q WHERE queue_reason IS NOT NULL",
     "work_queue_missing": f"{_QUEUE} SELECT law_name, queue_reason FROM q WHERE queue_reason = 'missing'",
     "work_queue_stale": f"{_QUEUE} SELECT law_name, law_updated_at, latest_unit_updated_at FROM q WHERE queue_reason = 'stale'",
