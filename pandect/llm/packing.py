@@ -97,8 +97,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHA
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents that had to be divided."""
-    return packed(documents).where("part_no = 2").select("doc_id")
+    """``doc_id`` of the documents that had to be divided, each once."""
+    return packed(documents).where("part_no = 2").select("doc_id").distinct()
 
 
 def fill_report(documents: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ def judged(documents: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents whose text was cut off."""
-    return judged(documents).where("verdict is not null").select("doc_id")
+    """``doc_id`` of the documents whose text was cut off, each once."""
+    return judged(documents).where("verdict is not null").select("doc_id").distinct()
 
 
 def report(documents: DataFrame) -> DataFrame:
