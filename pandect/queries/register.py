@@ -12,7 +12,7 @@ from pandect.sources.tables import table
 #: Dates that the reference takes from the clock.
 AS_OF = "2019-08-20"
 SINCE = "2023-06-01 00:00:00"
-WANTED = ["UK_ukpga_1988_7205", "UK_uksi_2001_7530", "UK_xx_1900_1", "UK_anaw_1978_8181"]
+WANTED = ["UK_ukpga_1987_5001", "UK_uksi_2004_5002", "UK_xx_1900_1", "UK_asp_2009_5005"]
 LAW_COLUMNS = ["id", "name", "title_en", "type_code", "year", "number", "family", "geo_extent", "live", "md_date", "function", "updated_at"]
 SHAPE = ["id", "name", "title_en", "type_code", "year", "number", "family", "live", "geo_extent", "md_date"]
 
@@ -32,8 +32,9 @@ def _notes(fn, *columns):
 def _all(fn):
     def run(spark, d):
         laws = register.laws(table(spark, d, "uk_lrt"), *LAW_COLUMNS)
-        units = register.units(table(spark, d, "lat"), "law_name", "law_id", "section_type", "text", "sort_key", "position")
-        return fn(laws, units, register.annotations(table(spark, d, "amendment_annotations"), "law_name", "law_id", "code", "code_type", "source", "text"))
+        # Only what the queries use: the tie-break of the newest row reads every column that is kept.
+        units = register.units(table(spark, d, "lat"), "law_id")
+        return fn(laws, units, register.annotations(table(spark, d, "amendment_annotations"), "law_id", "code"))
 
     return run
 
@@ -66,22 +67,22 @@ def _json_row(df):
 
 
 QUERIES = {
-    "laws_by_id": _laws(lambda x: x.where(F.col("name") == WANTED[1]).select("id", "name", "title_en")),
-    "laws_by_family": _laws(lambda x: x.where("family = 'RECORDS'").select("name", "family")),
-    "laws_by_optional_families": _laws(lambda x: x.where(filters.all_of([filters.equal_if("family", "PEAT & MOOR"), filters.equal_if("geo_extent", None)])).select("name", "family")),
-    "search_optional": _laws(lambda x: register.optional_search(x, family=None, type_code="uksi", text="landing").select("name", "title_en", "number", "year")),
-    "screening": _laws(lambda x: register.screening(x).select("name", "year", "md_date")),
-    "screening_page": _laws(lambda x: filters.page(register.screening(x, family="RECORDS"), [F.desc_nulls_first("year"), F.desc_nulls_first("md_date"), F.asc("name")], 100).select("name", "year", "md_date")),
-    "laws_in_force": _laws(lambda x: x.where(F.col("live") == register.IN_FORCE).select("name", "live")),
-    "laws_recent": _laws(lambda x: register.amended_within(x, "md_date", AS_OF).select("name", "md_date")),
-    "marked_laws": _laws(lambda x: register.marked(x, "RECORDS", "Making").select("name", "family")),
-    "batch_exists": _laws(lambda x: register.present(x, WANTED).select("id", "name")),
+    "laws_by_id": _laws(lambda x: x.where(F.col("name") == WANTED[1]).select("id", "name", "title_en"), "id", "title_en"),
+    "laws_by_family": _laws(lambda x: x.where("family = 'RECORDS'").select("name", "family"), "family"),
+    "laws_by_optional_families": _laws(lambda x: x.where(filters.all_of([filters.equal_if("family", "PEAT & MOOR"), filters.equal_if("geo_extent", None)])).select("name", "family"), "family", "geo_extent"),
+    "search_optional": _laws(lambda x: register.optional_search(x, family=None, type_code="uksi", text="landing").select("name", "title_en", "number", "year"), "family", "year", "type_code", "live", "title_en", "number"),
+    "screening": _laws(lambda x: register.screening(x).select("name", "year", "md_date"), "function", "live", "family", "geo_extent", "year", "md_date"),
+    "screening_page": _laws(lambda x: filters.page(register.screening(x, family="RECORDS"), [F.desc_nulls_first("year"), F.desc_nulls_first("md_date"), F.asc("name")], 100).select("name", "year", "md_date"), "function", "live", "family", "geo_extent", "year", "md_date"),
+    "laws_in_force": _laws(lambda x: x.where(F.col("live") == register.IN_FORCE).select("name", "live"), "live"),
+    "laws_recent": _laws(lambda x: register.amended_within(x, "md_date", AS_OF).select("name", "md_date"), "md_date"),
+    "marked_laws": _laws(lambda x: register.marked(x, "RECORDS", "Making").select("name", "family"), "family", "function", "type_code"),
+    "batch_exists": _laws(lambda x: register.present(x, WANTED).select("id", "name"), "id"),
     "batch_missing": lambda spark, d: register.missing(spark.createDataFrame([(n,) for n in WANTED], "name string"), register.laws(table(spark, d, "uk_lrt"), "id"), "name"),
-    "display_names": _laws(lambda x: x.select("id", register.display_name().alias("display_name"), register.title_with_year().alias("title_with_year"))),
-    "law_json": _laws(_json_row),
+    "display_names": _laws(lambda x: x.select("id", register.display_name().alias("display_name"), register.title_with_year().alias("title_with_year")), "id", "title_en", "year"),
+    "law_json": _laws(_json_row, "title_en", "year", "type_code", "family", "live"),
     "view_filters": _laws(lambda x: x.where(filters.where_all(_FILTERS, filters.recent_years("year", 2024))).select("name", "title_en", "year")),
-    "view_filters_edges": _laws(lambda x: x.where(filters.where_all(_EDGE_FILTERS, filters.recent_years("year", 2024))).select("name", "number")),
-    "default_shape": _laws(lambda x: x.where(filters.where_all([], filters.recent_years("year", 2024))).select("name", "year")),
+    "view_filters_edges": _laws(lambda x: x.where(filters.where_all(_EDGE_FILTERS, filters.recent_years("year", 2024))).select("name", "number"), "geo_extent", "year", "number", "type_code"),
+    "default_shape": _laws(lambda x: x.where(filters.where_all([], filters.recent_years("year", 2024))).select("name", "year"), "year"),
     "public_shape": _laws(lambda x: filters.shape(x, "year >= 2015 and type_code = 'asp'", ["id", "name", "function", "year", "secret"], SHAPE)),
     "units_of_law": _units(lambda u: u.where(F.col("law_name") == "UK_ukpga_1987_5001").select("section_id", "sort_key", "position", "depth"), "law_name", "sort_key", "position", "depth"),
     "units_by_type": _units(lambda u: u.where("section_type = 'heading'").select("section_id", "law_name", "text"), "law_name", "section_type", "text"),
@@ -95,7 +96,7 @@ QUERIES = {
     "section_counts": _units(lambda u: register.counts_by(u, "section_type"), "law_name", "section_type"),
     "code_counts": _notes(lambda a: register.counts_by(a, "code_type"), "law_name", "code_type"),
     "stats_row": lambda spark, d: register.table_stats(table(spark, d, "lat"), table(spark, d, "amendment_annotations")),
-    "law_marks": _laws(lambda x: x.select("name", F.array_join(F.array_sort(F.map_keys("function")), "|").alias("marks"), F.array_join(F.array_sort(F.map_keys(F.map_filter("function", lambda k, v: v))), "|").alias("true_marks"))),
+    "law_marks": _laws(lambda x: x.select("name", F.array_join(F.array_sort(F.map_keys("function")), "|").alias("marks"), F.array_join(F.array_sort(F.map_keys(F.map_filter("function", lambda k, v: v))), "|").alias("true_marks")), "function"),
     "work_queue": _all(lambda x, u, a: register.work_queue(x, u).drop("marks")),
     "work_queue_missing": _all(lambda x, u, a: register.work_queue(x, u, "missing").select("law_name", "queue_reason")),
     "work_queue_stale": _all(lambda x, u, a: register.work_queue(x, u, "stale").select("law_name", "law_updated_at", "latest_unit_updated_at")),
