@@ -20,8 +20,15 @@ WHOLE = [
     "Text.\r\nSigned by authority of the Board\r\nA Name\r\nRegistrar of Tallies",
     "Payable under reg. 3.",
     "Kept by the Board. [more]",
+    "See https://example.org/a",
+    "The fee is £30.",
+    "これは文です。",
+    "这是一个句子。",
+    "هذه جملة كاملة۔",
+    "a | b\n1 | 2\n3 | 4",
+    "Kept by the Board." + " [F1]" * 500 + "…" * 500,
 ]
-EITHER = ["(a) clean each kiln; and", "Text. (g) clean each kiln in accordance with art. 34 of the Act;", "The lessee must—", "It shall keep records of:", "PART 7 KILNS", "The Kilns (Fees) Order 1999", "Llanfedw: kiln and hoist", "Keeping of Records of hoists", "Text. (b) mark it, neu"]
+EITHER = ["(a) clean each kiln; and", "Text. (g) clean each kiln in accordance with art. 34 of the Act;", "The lessee must—", "It shall keep records of:", "PART 7 KILNS", "The Kilns (Fees) Order 1999", "Llanfedw: kiln and hoist", "Keeping of Records of hoists", "Text. (b) mark it, neu", "Interpretation", "Short title and commencement", "Article 5", "Table 3", "12 March 2020", "- feed the kiln\n- clean the hoist", "Health and Safety Executive", "この文は", "The reading was 7."]
 CUT = [
     "The lessee must clean each ki",
     "The lessee must clean each …",
@@ -37,6 +44,9 @@ CUT = [
     "Text. Rhaid i'r ",
     "The lessee must >>",
     "Kept under reg. [more]",
+    "Kept clean.\nNothi",
+    "Kept clean.\nThe Inspectorat",
+    "3 | kiln | £4 | n/a\n4 | ki",
 ]
 
 
@@ -72,8 +82,8 @@ def corpus(seed, limit):
 def test_field_limits_are_found(spark):
     data, cut = corpus(3, 300)
     df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
-    found = T.limits(df).where("measure = 'chars'").select("source_name", "length")
-    assert rows(found) == [("src", 300)]
+    n = sum(len(t) == 300 for t in {t for _, t, _ in data})
+    assert rows(T.limits(df)) == [("src", "bytes", 300, 300, n, len(cut))]
     assert {r[0] for r in T.found(df).collect()} == cut
     verdicts = {r["verdict"] for r in T.judged(df).collect()}
     assert verdicts == {"field limit"}
@@ -85,6 +95,8 @@ def test_either_is_cut_at_a_limit_only_and_copies_follow(spark):
     data += [(9001, at, "src"), (9002, at, "elsewhere"), (9003, "Keep it. The owner must—", "src"), (9004, None, "src"), (9005, "  ", None), (None, "The ow", "src")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, source string").withColumn("h", F.lit("clash")).withColumn("core", F.lit(1))
     assert {r[0] for r in T.found(df).collect()} == cut | {9001, 9002}
+    without = T.measured(df).where("ending = 'cut'")
+    assert {r[0] for r in without.select("doc_id").collect()} & {9001, 9002} == set()  # only hazards find these
     share = {r["source_name"]: (r["at_limit"], r["in_transfer"]) for r in T.report(df).collect()}
     assert share["src"][0] == len(cut) + 1 and share["elsewhere"] == (0, 1)
 
