@@ -93,7 +93,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHA
         item, part, tokens, container, place, offset = (np.asarray(x) for x in zip(*rows, strict=True))
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[item], "part_no": part, "tokens": tokens, "container_id": container + (int(pdf["shard"].iloc[0]) << 32), "place": place, "token_offset": offset})
 
-    return sized.groupBy("shard").applyInPandas(one, PLACED)
+    # One partition per shard: left alone, adaptive execution would join small shards into one task.
+    return sized.repartition(shards, "shard").groupBy("shard").applyInPandas(one, PLACED)
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -107,3 +108,12 @@ def fill_report(documents: DataFrame) -> DataFrame:
     per = packed(documents).groupBy("container_id").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("items"), F.max("part_no").alias("parts"))
     out = per.groupBy((F.col("parts") > 1).alias("divided")).agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"))
     return out.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+
+
+def verified(documents: DataFrame) -> DataFrame:
+    """``doc_id, tokens, parts`` as placed, and ``fits``: no container that holds
+    a part of the document is filled beyond its capacity."""
+    rows = packed(documents)
+    used = rows.groupBy("container_id").agg(F.sum("tokens").alias("used"))
+    rows = rows.join(used, "container_id")
+    return rows.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("parts"), F.bool_and(F.col("used") <= CAPACITY).alias("fits"))

@@ -288,3 +288,21 @@ def numbered_pieces(units: DataFrame) -> DataFrame:
     windows over its starts, which hold no texts."""
     w = Window.partitionBy(*KEYS).orderBy("piece_start", "piece_end")
     return pieces(units).withColumn("piece_no", F.row_number().over(w)).select(*KEYS, "piece_no", "piece_start", "piece_end", "piece")
+
+
+def verified(units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """KEYS, ``total`` (the item's size) and what must hold of its pieces:
+    ``within_limit``, ``overlapping`` (each repeats exactly the end of the one
+    before), ``covering`` (from the item's start to its end) and ``texts_fit``."""
+    rows = pieces(units, limit, overlap)
+    w = Window.partitionBy(*KEYS).orderBy("piece_start", "piece_end")
+    rows = rows.withColumn("before", F.lag("piece_end").over(w)).withColumn("size", F.length("piece"))
+    repeats = F.col("before").isNull() | (F.col("piece_start") == F.col("before") - overlap)
+    out = rows.groupBy(*KEYS).agg(
+        F.max("piece_end").alias("total"),
+        (F.max("size") <= limit).alias("within_limit"),
+        F.bool_and(repeats).alias("overlapping"),
+        (F.min("piece_start") == 0).alias("covering"),
+        F.bool_and(F.col("size") == F.col("piece_end") - F.col("piece_start")).alias("texts_fit"),
+    )
+    return out

@@ -293,3 +293,10 @@ def report(documents: DataFrame) -> DataFrame:
     cuts = judged(documents, rows).groupBy("source_name").agg(F.count_if(F.col("verdict") == "field limit").alias("at_limit"), F.count_if(F.col("verdict").isin("copy", "transfer")).alias("in_transfer"))
     out = texts.join(cuts, "source_name", "left").na.fill(0, ["at_limit", "in_transfer"])
     return out.withColumn("share", F.round((F.col("at_limit") + F.col("in_transfer")) / F.col("texts"), 6))
+
+
+def lengths(documents: DataFrame) -> DataFrame:
+    """``source_name, measure, length, ended, reached, expected``: the hazards of
+    the texts as sent (in characters and bytes)."""
+    h = hazards(measured(documents)).where("measure in ('chars', 'bytes')")
+    return h.select("source_name", "measure", F.col("length").cast("bigint").alias("length"), "ended", "reached", F.round("expected", 6).alias("expected"))
