@@ -92,10 +92,11 @@ class Classifier:
         self.domains = domains
         place = {d: i for i, d in enumerate(domains)}
         labelled = _sized(documents).where(F.col("label").isin(domains) & F.col("text").isNotNull())
-        # The sample is cut to so many documents by rank within the domain before any text moves.
-        first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = labelled.select("label", "doc_id").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_domain)
-        sample = stored(labelled.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("label", _hashed(F.col("text"), buckets).alias("hashed"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("kept")))
+        # The sample is cut by rank within the domain before any text moves: one hash per domain tells its last.
+        first = Window.partitionBy("label").orderBy("__h")
+        ranked = labelled.select("label", F.xxhash64("doc_id").alias("__h")).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_domain)
+        last = ranked.groupBy("label").agg(F.max("__h").alias("__last"))  # at most MOST_TARGETS rows
+        sample = stored(labelled.join(F.broadcast(last), "label").where(F.xxhash64("doc_id") <= F.col("__last")).select("label", _hashed(F.col("text"), buckets).alias("hashed"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("kept")))
         # At most domains x buckets counts reach the driver, for either half of the sample.
         counted = sample.select("label", "kept", F.explode("hashed").alias("bucket")).groupBy("label", "kept", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = np.zeros((2, len(domains), buckets))

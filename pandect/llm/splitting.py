@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pandect.functions.keys import law_key
-from pandect.plans.cut import cut
+from pandect.plans.cut import cut, stored
 from pandect.plans.newest import newest
 
 LIMIT = 1_200
@@ -45,6 +45,8 @@ OVERLAP = 100
 SEGMENT = 8_192
 #: Units of one stretch of a provision whose offsets are summed in one window.
 STRETCH = 1_024
+#: Stretches that units without a position are dealt into.
+LOOSE = 64
 
 #: Natural cuts: after the end of a sentence, or of a clause that ends with ; : or a dash.
 _NATURAL = re.compile(r"[.!?][\"”’')\]]*(?= )|[;:—](?= )")
@@ -137,16 +139,17 @@ def _parts(units: DataFrame, limit: int) -> DataFrame:
     """Units as parts of oversized items: KEYS, ``total``, ``offset``, ``size``,
     ``cuts`` and, if there, ``text``. The offset of a unit in its provision is
     summed in stretches of positions: within a stretch by a window, from
-    stretch to stretch by the stretches' sums."""
+    stretch to stretch by the stretches' sums. Units without a position come
+    first, in ``LOOSE`` stretches by the hash of their section_id."""
     text = ["text"] if "text" in units.columns else []
     alone = units.where(F.col("size") > limit).select(F.lit("unit").alias("item_kind"), "law_name", F.col("section_id").alias("item_key"), F.col("size").alias("total"), F.lit(0).cast("bigint").alias("offset"), "size", "cuts", *text)
     rows = units.withColumn("item_key", provision_path(F.col("path"))).where("item_key is not null")
-    rows = rows.withColumn("__stretch", F.coalesce(F.floor(F.col("position") / STRETCH), F.lit(-1)).cast("bigint")).select("law_name", "item_key", "__stretch", "position", "section_id", "size", "cuts", *text)
+    rows = rows.withColumn("__stretch", F.coalesce(F.floor(F.col("position") / STRETCH), -1 - F.pmod(F.xxhash64("section_id"), F.lit(LOOSE))).cast("bigint")).select("law_name", "item_key", "__stretch", "position", "section_id", "size", "cuts", *text)
     sums = rows.groupBy("law_name", "item_key", "__stretch").agg(F.sum(F.col("size") + 1).alias("__sum"))
     whole = Window.partitionBy("law_name", "item_key")
     along = whole.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("total", F.sum("__sum").over(whole) - 1).withColumn("__before", F.coalesce(F.sum("__sum").over(along), F.lit(0))).where(F.col("total") > limit)
-    inside = Window.partitionBy("law_name", "item_key", "__stretch").orderBy(F.col("position").asc_nulls_first(), "section_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("law_name", "item_key", "__stretch").orderBy("position", "section_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums.drop("__sum"), ["law_name", "item_key", "__stretch"])
     rows = rows.withColumn("offset", F.col("__before") + F.coalesce(F.sum(F.col("size") + 1).over(inside), F.lit(0)))
     joined = rows.select(F.lit("provision").alias("item_kind"), "law_name", "item_key", "total", "offset", "size", "cuts", *text)
@@ -262,7 +265,8 @@ def pieces(units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_te
     repeat the end of the piece before, save of an item's first piece."""
     measured = _measured(units, limit, overlap, with_text)
     kept = ["law_name", "path", "position", "size", "cuts"] + ["text"] * with_text
-    now = newest(measured, "section_id", kept)
+    # Stored: texts are measured once, though single units, offsets and sums each read some of it.
+    now = stored(newest(measured, "section_id", kept))
     segments = cut(_segments(_parts(now, limit), limit, overlap))
     alone = segments.where(F.col("total") <= SEGMENT).withColumn("entry", F.lit(0).cast("bigint"))
     large = segments.where(F.col("total") > SEGMENT)
