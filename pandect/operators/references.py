@@ -8,6 +8,10 @@ columns under the declared match semantics of SQL's foreign keys:
 * ``partial``: the non-null parts must match some record;
 * ``full``: all parts null is satisfied, some null is never satisfied.
 
+References are stored once with their mask, and only masks that occur are
+joined. The anti-join keeps the state of the key that a reference failed on, so
+one join per mask finds the orphans and tells why they are some.
+
 A record satisfies a reference only if it isn't deleted and did not arrive
 after the referring row. Orphans are then told apart:
 
@@ -58,37 +62,48 @@ def key_states(records: DataFrame, removed: DataFrame | None, keys: Sequence[str
     return state.select(*keys, "__first", "__exists", deleted.alias("__deleted"))
 
 
+def masked(references: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The references with their ``__mask``, stored."""
+    return stored(references.withColumn("__mask", null_mask(keys)))
+
+
+def mask_counts(references: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``null_keys`` (names of the null parts) and how many ``references`` have that mask."""
+    names = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in keys]))
+    return references.groupBy(*by, F.array_join(names, ",").alias("null_keys")).agg(F.count(F.lit(1)).alias("references"))
+
+
 def orphans(references: DataFrame, records: DataFrame, keys: Sequence[str], match: str = "full", arrived: str = "arrived_at", removed: DataFrame | None = None, removed_at: str = "removed_at") -> DataFrame:
     """The references that aren't satisfied, with their ``kind``.
 
     ``references`` and ``records`` (and ``removed``) have the columns ``keys``
-    and ``arrived`` (``removed_at``); all masks that the semantics check are
-    joined separately on their own columns.
+    and ``arrived`` (``removed_at``); each mask that the semantics check and
+    that occurs is joined on its own columns.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
-    masked = references.withColumn("__mask", null_mask(keys))
+    refs = masked(references, keys)
     everything = (1 << len(keys)) - 1
-    out = []
-    for mask in range(everything):
-        if mask and match == "simple":
-            break
-        part = masked.where(F.col("__mask") == mask).drop("__mask")
+    # At most two to the number of keys masks reach the driver.
+    occurring = sorted(r[0] for r in refs.select("__mask").distinct().collect())
+    out = [refs.where("false").drop("__mask").withColumn("kind", F.lit(""))]
+    for mask in occurring:
+        if mask == everything or mask and match == "simple":
+            continue
+        part = refs.where(F.col("__mask") == mask).drop("__mask")
         if mask and match == "full":
             out.append(part.withColumn("kind", F.lit("missing")))
             continue
         on = [k for i, k in enumerate(keys) if not mask >> i & 1]
-        # Stored, the states are shuffled on their own by each join, which lets AQE split a key
+        # Stored, the states are shuffled on their own by the join, which lets AQE split a key
         # that holds a third of all references; straight from the aggregation it can't.
         states = stored(key_states(records, removed, on, arrived, removed_at))
-        good = states.where("__exists and not __deleted").select(*[F.col(k).alias(f"__{k}") for k in on], F.col("__first").alias("__seen"))
-        same = [F.col(k) == F.col(f"__{k}") for k in on]
-        in_time = F.coalesce(F.col("__seen") <= F.col(arrived).cast("timestamp_ntz"), F.lit(True))
-        unmet = part.join(good, [*same, in_time], "left_anti")
-        # Orphans are spread anew for the same reason: the joins must not share one partitioning.
-        unmet = unmet.repartition(F.xxhash64(*unmet.columns))
+        states = states.select(*[F.col(k).alias(f"__{k}") for k in on], "__first", "__exists", "__deleted")
+        judged = part.join(states, [F.col(k) == F.col(f"__{k}") for k in on], "left")
+        in_time = F.coalesce(F.col("__first") <= F.col(arrived).cast("timestamp_ntz"), F.lit(True))
+        satisfied = F.coalesce(F.col("__exists") & ~F.col("__deleted") & in_time, F.lit(False))
         kind = F.when(F.col("__deleted"), "deleted").when(F.col("__exists"), "late").otherwise("missing")
-        out.append(unmet.join(states, on, "left").withColumn("kind", kind).drop("__first", "__exists", "__deleted"))
+        out.append(judged.where(~satisfied).withColumn("kind", kind).drop(*[f"__{k}" for k in on], "__first", "__exists", "__deleted"))
     return reduce(DataFrame.unionByName, out)
 
 

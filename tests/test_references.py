@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from pandect.operators.law_references import found
+from pandect.operators.law_references import found, masks
 from pandect.operators.references import orphans
 from tests.conftest import rows
 
@@ -57,6 +57,8 @@ def test_register(spark):
             ("UK_uksi_2000_1", ["/asp/1/1"], None, None, D(1), D(9), None),
             ("UK_uksi_2000_2", None, ["UK_uksi_2000_1", "no law"], None, D(2), D(1), None),
             ("UK_uksi_2000_3", ["UK_uksi_2000_2"], None, None, None, D(1), None),
+            ("UK_uksi_2000_4", ["uksi 2000", "ukpga 2000", "2000/2", "2001/7", "odd law"], None, None, D(2), D(3), None),
+            ("odd law", None, None, None, None, D(1), None),
         ],
         law,
     )
@@ -70,5 +72,10 @@ def test_register(spark):
         ("uk_lrt", "UK_uksi_2000_1", "amending", "UK_ukpga_1999_9", "deleted", "2022-01"),
         ("uk_lrt", "UK_uksi_2000_2", "amended_by", "UK_uksi_2000_1", "late", "2022-01"),
         ("uk_lrt", "UK_uksi_2000_2", "amended_by", "no law", "missing", "2022-01"),
+        # What a reference has must match some law: a type and year, or a year and number.
+        ("uk_lrt", "UK_uksi_2000_4", "amending", "2001/7", "missing", "2022-01"),
+        ("uk_lrt", "UK_uksi_2000_4", "amending", "ukpga 2000", "missing", "2022-01"),
     ]
+    of_laws = {r["null_keys"]: r["references"] for r in masks(laws, units, notes, removed).where("source_table = 'uk_lrt'").groupBy("null_keys").sum("references").toDF("null_keys", "references").collect()}
+    assert of_laws == {"text": 3, "type,year,number": 2, "number,text": 2, "type,text": 2}
     assert found(laws.limit(0), units.limit(0), notes.limit(0), removed.limit(0)).count() == 0
