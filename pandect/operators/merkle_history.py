@@ -7,9 +7,11 @@ hashes, so 128 bits). Two snapshots are compared from the root down: only
 below nodes whose digests differ are the children looked at, and only rows of
 leaf buckets that differ are compared themselves.
 
-Because the exclusive-or of a bucket is the exclusive-or of what each
-delivery added or took away, the digests of all snapshots of a feed come from
-one pass over the deliveries and a running exclusive-or per bucket.
+``maintain`` keeps the history of a chain of snapshots that way: the first is
+loaded as a whole; of every later one the tree is compared with the tree of
+the one before, the rows of changed leaves are diffed, and of the keys that
+the diff names the versions are made anew and appended, while all others keep
+theirs. So what a snapshot costs beyond its digests follows what changed.
 
 Cases: rows with a null key are left out; null values count as values; a row
 given twice counts once; an empty snapshot has no buckets and differs from
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from pandect.plans.cut import stored
 
-FANOUT = 16
-LEVELS = 3
+FANOUT = 256
+LEVELS = 2
 _A, _B = "__digest_a", "__digest_b"
 
 
@@ -42,63 +44,76 @@ def _hashes(columns: Sequence[str]) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def tree(rows: DataFrame, keys: Sequence[str], values: Sequence[str], by: Sequence[str] = (), levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
-    """Digests of all nodes: ``by``, ``__level`` (0 is the root), ``__node``, two digests.
+def tree(rows: DataFrame, keys: Sequence[str], values: Sequence[str], bucket: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+    """Digests of all nodes: ``__level`` (0 is the root), ``__node``, two digests.
 
-    ``rows`` must be distinct in keys, values and ``by``. Leaves are combined
-    on the map side; only their digests go on to the levels above.
+    ``rows`` must be distinct in keys and values; ``bucket`` are the columns
+    whose hash gives the leaf. Leaves are combined on the map side; only their
+    digests go on to the levels above.
     """
     a, b = _hashes([*keys, *values])
-    leaf = rows.select(*by, leaf_of(keys, levels, fanout).alias("__node"), a.alias(_A), b.alias(_B))
-    leaf = leaf.groupBy(*by, "__node").agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
+    leaf = rows.select(leaf_of(bucket, levels, fanout).alias("__node"), a.alias(_A), b.alias(_B))
+    leaf = leaf.groupBy("__node").agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
     places = F.array(*[F.struct(F.lit(n).alias("__level"), F.floor(F.col("__node") / F.lit(fanout ** (levels - n))).cast("bigint").alias("__at")) for n in range(levels + 1)])
-    node = leaf.select(*by, F.inline(places), _A, _B)
-    return node.groupBy(*by, "__level", F.col("__at").alias("__node")).agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
+    node = leaf.select(F.inline(places), _A, _B)
+    return node.groupBy("__level", F.col("__at").alias("__node")).agg(F.bit_xor(_A).alias(_A), F.bit_xor(_B).alias(_B))
 
 
-def _descend(nodes: DataFrame, by: Sequence[str], levels: int, fanout: int) -> DataFrame:
+def _descend(nodes: DataFrame, levels: int, fanout: int) -> DataFrame:
     """Leaves below differing nodes only; ``nodes`` are those that differ."""
-    level = lambda n: nodes.where(F.col("__level") == n).select(*by, "__node")
+    level = lambda n: nodes.where(F.col("__level") == n).select("__node")
     changed = level(0)
     for n in range(1, levels + 1):
-        parent = changed.select(*by, F.col("__node").alias("__parent"))
+        parent = changed.select(F.col("__node").alias("__parent"))
         child = level(n).withColumn("__parent", F.floor(F.col("__node") / fanout).cast("bigint"))
-        changed = child.join(parent, [*by, "__parent"], "left_semi").drop("__parent")
+        changed = child.join(parent, "__parent", "left_semi").drop("__parent")
     return changed
 
 
-def changed_leaves(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
-    """Leaf buckets (``__node``) whose rows differ between two snapshots."""
+def differing(old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """``__level, __node`` of the nodes whose digests differ between two trees."""
     at = ["__level", "__node"]
-    o = tree(old, keys, values, (), levels, fanout).select(*at, F.col(_A).alias("__old_a"), F.col(_B).alias("__old_b"))
-    both = tree(new, keys, values, (), levels, fanout).join(o, at, "full_outer")
+    o = old_nodes.select(*at, F.col(_A).alias("__old_a"), F.col(_B).alias("__old_b"))
     same = F.col(_A).eqNullSafe(F.col("__old_a")) & F.col(_B).eqNullSafe(F.col("__old_b"))
-    return _descend(stored(both.where(~same).select(*at)), (), levels, fanout)
+    return new_nodes.join(o, at, "full_outer").where(~same).select(*at)
+
+
+def changed_leaves(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+    """Leaf buckets (``__node``) whose rows differ between two snapshots."""
+    trees = [tree(x, keys, values, keys, levels, fanout) for x in (old, new)]
+    return _descend(stored(differing(*trees)), levels, fanout)
 
 
-def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], levels: int = LEVELS, fanout: int = FANOUT, leaves: DataFrame | None = None, bucket: Sequence[str] | None = None) -> DataFrame:
     """Changed keys between two snapshots: keys, new values, ``change``
     ('insert', 'update', 'delete'; a deleted key has null values).
 
     A snapshot should hold a key once; of several rows the one greatest in its
-    values counts.
+    values counts. ``bucket`` are the columns whose hash gives the leaf (the
+    keys, if not given); ``leaves`` the changed ones, if they are known.
     """
     cols = [*keys, *values]
+    bucket = list(bucket or keys)
 
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(*cols)
         for k in keys:
             df = df.where(F.col(k).isNotNull())
+        return df
+
+    def single(df: DataFrame) -> DataFrame:
         if not values:
             return df.distinct()
         best = df.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__v"))
         return best.select(*keys, *[F.col("__v")[v].alias(v) for v in values])
 
     old, new = clean(old), clean(new)
-    leaves = changed_leaves(old, new, keys, values, levels, fanout)
-    pick = lambda df: df.withColumn("__node", leaf_of(keys, levels, fanout)).join(leaves, "__node", "left_semi").drop("__node")
-    o = pick(old).select(*keys, F.struct(F.lit(1).alias("__one"), *values).alias("__old"))
-    n = pick(new).select(*keys, F.struct(F.lit(1).alias("__one"), *values).alias("__new"))
+    if leaves is None:
+        old, new = single(old), single(new)
+        leaves = changed_leaves(old, new, keys, values, levels, fanout)
+    pick = lambda df: df.withColumn("__node", leaf_of(bucket, levels, fanout)).join(leaves, "__node", "left_semi").drop("__node")
+    o = single(pick(old)).select(*keys, F.struct(F.lit(1).alias("__one"), *values).alias("__old"))
+    n = single(pick(new)).select(*keys, F.struct(F.lit(1).alias("__one"), *values).alias("__new"))
     both = n.join(o, list(keys), "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new")))
     change = F.when(F.col("__old").isNull(), "insert").when(F.col("__new").isNull(), "delete").otherwise("update")
     return both.select(*keys, *[F.col("__new")[v].alias(v) for v in values], change.alias("change"))
@@ -113,29 +128,43 @@ def append_versions(history: DataFrame, changes: DataFrame, keys: Sequence[str],
     return closed.select(*keys, *values, "valid_from", "valid_to").unionByName(opened)
 
 
-def replay(deliveries: DataFrame, keys: Sequence[str], values: Sequence[str], snapshot: str, levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
-    """What each snapshot of a feed adds to the one before it.
+class Maintained:
+    """What ``maintain`` gives: ``history`` (as ``versions``), and of every
+    snapshot but the first the stored ``differing`` nodes (``looked_at``)."""
+
+    def __init__(self, history: DataFrame, looked_at: list[tuple[DataFrame, DataFrame]]):
+        self.history, self.looked_at = history, looked_at
+
 
-    ``deliveries`` holds rows with the snapshot in which they came; the state
-    at a snapshot is all that came up to it. For every pair of neighbouring
-    snapshots the trees are compared from the root down, and the rows of the
-    changed leaf buckets are diffed against the earlier state: a row comes out
-    with the first snapshot that has it, so a repeated delivery adds nothing.
+def maintain(snapshots: Sequence[DataFrame], keys: Sequence[str], at: str, value: str, span: int, levels: int = LEVELS, fanout: int = FANOUT) -> Maintained:
+    """The history of an attribute after a chain of snapshots, each of which
+    holds distinct observations (keys, ``at``, ``value``) without nulls.
+
+    A snapshot may add observations at any time, or lack some of the one
+    before; the history is always that of the last one.
     """
-    cols = [*keys, *values]
-    rows = deliveries.select(*cols, snapshot)
-    for c in (*keys, snapshot):
-        rows = rows.where(F.col(c).isNotNull())
-    # One row per content with the first snapshot that has it: partial aggregation before the shuffle.
-    # It is stored: every level of the tree and the diff read it, and their plans stay small.
-    first = stored(rows.groupBy(*cols).agg(F.min(snapshot).alias(snapshot)))
-    order = Window.partitionBy("__level", "__node").orderBy(snapshot)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = tree(first, keys, values, (snapshot,), levels, fanout).withColumn("__now_a", F.bit_xor(_A).over(upto)).withColumn("__now_b", F.bit_xor(_B).over(upto))
-    was = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
-    differing = state.withColumn("__was_a", was("__now_a")).withColumn("__was_b", was("__now_b")).where((F.col("__now_a") != F.col("__was_a")) | (F.col("__now_b") != F.col("__was_b")))
-    leaves = _descend(stored(differing.select(snapshot, "__level", "__node")), (snapshot,), levels, fanout)
-    return first.withColumn("__node", leaf_of(keys, levels, fanout)).join(leaves, [snapshot, "__node"], "left_semi").drop("__node")
+    content = [*keys, at, value]
+    history = nodes = before = None
+    looked_at = []
+    for rows in snapshots:
+        now = stored(tree(rows, content, (), keys, levels, fanout))
+        if history is None:
+            history = versions(rows, keys, at, value, span)
+        else:
+            other = stored(differing(nodes, now))
+            looked_at.append((other, now))
+            changes = diff_snapshots(before, rows, content, (), levels, fanout, _descend(other, levels, fanout), keys)
+            history = append_observed(stored(history), stored(changes.select(*keys).distinct()), rows, keys, at, value, span)
+        nodes, before = now, rows
+    return Maintained(history, looked_at)
+
+
+def append_observed(history: DataFrame, changed: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, value: str, span: int) -> DataFrame:
+    """History (as ``versions``) with those of the ``changed`` keys made anew
+    from the observations ``rows``: an observation that came late may part a
+    version or join two."""
+    fresh = versions(rows.join(changed, list(keys), "left_semi"), keys, at, value, span)
+    return history.join(changed, list(keys), "left_anti").unionByName(fresh)
 
 
 def versions(observations: DataFrame, keys: Sequence[str], at: str, value: str, span: int) -> DataFrame:

@@ -26,8 +26,10 @@ def _p4(fn):
 QUERIES = {
     "p1_found": _p1(law_status.found),
     "p1_history": _p1(law_status.periods),
+    "p1_descent": _p1(law_status.descent),
     "p2_found": _p2(law_references.found),
     "p2_report": _p2(law_references.report),
+    "p2_masks": _p2(law_references.masks),
     "p3_found": _p3(law_totals.heavy),
     "p3_law_totals": _p3(law_totals.law_totals),
     "p4_found": _p4(law_documents.found),
@@ -112,6 +114,11 @@ ORACLE = {
     "p1_history": f"WITH {_OBSERVED} SELECT name AS law_name, status_code, strftime(seen, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), '') AS valid_to, until IS NULL AS is_current FROM starts",
     "p2_found": f"{_ORPHANS} SELECT * FROM orphan",
     "p2_report": f"{_ORPHANS} SELECT source_table, field, kind, period, count(*) AS orphans FROM orphan GROUP BY ALL",
+    "p2_masks": f"""{_ORPHANS} SELECT source_table, field, concat_ws(',',
+    CASE WHEN target = 'lat' OR NOT regexp_matches(lower(ref_key), '([a-z]+)[^a-z0-9]+([0-9]{{4}})[^a-z0-9]*([^a-z0-9][0-9]+[^a-z0-9]*)?$') THEN 'type' END,
+    CASE WHEN target = 'lat' OR NOT regexp_matches(lower(ref_key), '[a-z][^a-z0-9]+[0-9]{{4}}[^a-z0-9]*$|(^|[^a-z0-9])[0-9]{{4}}[^a-z0-9]+[0-9]+[^a-z0-9]*$') THEN 'year' END,
+    CASE WHEN target = 'lat' OR NOT regexp_matches(lower(ref_key), '(^|[^a-z0-9])[0-9]{{4}}[^a-z0-9]+[0-9]+[^a-z0-9]*$') THEN 'number' END,
+    CASE WHEN target <> 'lat' AND regexp_matches(lower(ref_key), '[a-z][^a-z0-9]+[0-9]{{4}}[^a-z0-9]*$|(^|[^a-z0-9])[0-9]{{4}}[^a-z0-9]+[0-9]+[^a-z0-9]*$') THEN 'text' END) AS null_keys, count(*) AS "references" FROM refs GROUP BY ALL""",
     "p3_found": f"{_LAWS} SELECT table_name, law_name FROM per JOIN whole USING (table_name) WHERE items * 100 >= n * 4",
     "p3_law_totals": f"{_LAWS} {_SIZES} SELECT table_name, law_name, items, CAST(characters AS BIGINT) AS characters, round(items / n, 6) AS share FROM per JOIN whole USING (table_name) JOIN chars USING (table_name, law_name)",
     "p4_found": rf"""{_DOCS} SELECT DISTINCT law_name, field, regexp_replace(item, '^[{B}]+|[{B}]+$', '', 'g') AS item_key, CAST(0 AS INT) AS child_no FROM listed WHERE regexp_replace(item, '[{B}]+', '', 'g') <> ''

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pandect.operators import law_status
-from pandect.operators.merkle_history import append_versions, changed_leaves, diff_snapshots, leaf_of, replay, versions
+from pandect.operators.merkle_history import append_versions, changed_leaves, diff_snapshots, leaf_of, maintain, versions
 from tests.conftest import rows
 
 T = "k string, v string, w int"
@@ -47,9 +47,30 @@ def test_append_versions_closes_and_opens(spark):
     assert got == [("a", "1", 1, 0, 5), ("a", "2", 1, 5, None), ("b", "1", 1, 0, 5), ("c", "9", 9, 5, None)]
 
 
-def test_replay_keeps_first_delivery(spark):
-    feed = spark.createDataFrame([("a", "1", 2), ("a", "1", 1), ("a", "2", 3), ("b", None, 1), (None, "1", 1), ("c", "1", None)], "k string, v string, s int")
-    assert rows(replay(feed, ["k"], ["v"], "s").select("k", "v", "s")) == [("a", "1", 1), ("a", "2", 3), ("b", None, 1)]
+def test_history_after_a_chain_of_snapshots(spark):
+    t = "k string, t bigint, v string"
+    first = [(f"k{i}", 10, "x") for i in range(50)]
+    second = [*first, ("k1", 20, "y"), ("k2", 5, "y"), ("new", 1, "x")]
+    third = [r for r in second if r[0] != "k3"] + [("k1", 15, "y"), ("k1", 30, "x")]
+    for chain in ([third], [first, third], [first, second, third], [first, second, second, third], [[], third]):
+        kept = maintain([spark.createDataFrame(x, t) for x in chain], ["k"], "t", "v", 7)
+        want = rows(versions(spark.createDataFrame(third, t), ["k"], "t", "v", 7))
+        assert rows(kept.history) == want
+    assert ("k1", "y", 15, 30) in want and ("k2", "y", 5, 10) in want and not any(r[0] == "k3" for r in want)
+
+
+def test_only_keys_of_changed_leaves_get_new_versions(spark, monkeypatch):
+    from pandect.operators import merkle_history as m
+
+    t = "k string, t bigint, v string"
+    first = [(f"k{i}", 10, "x") for i in range(500)]
+    seen = []
+    make = m.versions
+    monkeypatch.setattr(m, "versions", lambda df, *a: (seen.append(df.count()), make(df, *a))[1])
+    kept = maintain([spark.createDataFrame(x, t) for x in (first, first + [("k7", 20, "y")])], ["k"], "t", "v", 7)
+    assert seen == [500, 2] and kept.history.count() == 501
+    other, now = kept.looked_at[0]
+    assert other.count() == 3 and now.count() > 500  # root, one node, one leaf
 
 
 @pytest.mark.parametrize("span", [1, 3, 7, 1000])
