@@ -50,10 +50,9 @@ def _q(p: str) -> str:
     return p.replace("'", "''")
 
 
-_PURPOSE = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(?:{_q('|'.join(ps))})') THEN '{n}' END" for n, ps in taxa.PURPOSES.items())
-_CLEAN = "text"
-for _p in taxa.NOISE:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_q(_p)}', ' ', 'g')"
+def _shown(vocabulary) -> str:
+    cells = ", ".join(f"CASE WHEN regexp_matches(text, '{_q(taxa.pattern_of(terms))}') THEN '{_q(n)}' END" for n, terms in vocabulary.items())
+    return f"list_filter([{cells}], lambda x: x IS NOT NULL)"
 
 
 def _signal_sql() -> str:
@@ -71,9 +70,10 @@ SELECT *, CASE WHEN score >= 0.70 THEN 'making' WHEN score <= 0.30 THEN 'not_mak
 
 
 ORACLE = {
-    "clean_texts": f"WITH {NU} SELECT section_id, {_CLEAN} AS clean FROM nu",
-    "purpose_classify": f"WITH {NU}, p AS (SELECT section_id, text, list_filter([{_PURPOSE}], lambda x: x IS NOT NULL) AS l FROM nu) SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(l) = 0 THEN '{taxa.DEFAULT_PURPOSE}' ELSE array_to_string(l, '|') END AS purposes FROM p",
-    "purpose_counts": f"WITH {NU}, p AS (SELECT list_filter([{_PURPOSE}], lambda x: x IS NOT NULL) AS l FROM nu WHERE coalesce(text, '') <> '') SELECT purpose, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['{taxa.DEFAULT_PURPOSE}'] ELSE l END) AS purpose FROM p) GROUP BY 1",
+    "clean_texts": f"WITH {NU} SELECT section_id, regexp_replace(text, '{_q(taxa.pattern_of(taxa.NOISE))}', ' ', 'g') AS clean FROM nu",
+    "purpose_classify": f"WITH {NU}, p AS (SELECT section_id, text, {_shown(taxa.PURPOSES)} AS l FROM nu) SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(l) = 0 THEN '{taxa.DEFAULT_PURPOSE}' ELSE array_to_string(l, '|') END AS purposes FROM p",
+    "purpose_counts": f"WITH {NU}, p AS (SELECT {_shown(taxa.PURPOSES)} AS l FROM nu WHERE coalesce(text, '') <> '') SELECT purpose, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['{taxa.DEFAULT_PURPOSE}'] ELSE l END) AS purpose FROM p) GROUP BY 1",
+    "category_classify": f"WITH {NU}, p AS (SELECT section_id, text, {_shown(taxa.CATEGORIES)} AS l FROM nu) SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(l) = 0 THEN '{taxa.FALLBACK_CATEGORY}' ELSE array_to_string(l, '|') END AS categories FROM p",
     "making_score": _signal_sql(),
     "clause_confidence": f"""WITH {NU}, c AS (SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN 0.0::DOUBLE ELSE round(CASE WHEN provision IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN NOT ends_with(text, '...') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(text) > 30 THEN 0.2::DOUBLE ELSE 0 END
       + CASE WHEN regexp_matches(text, '(?i)\\b(?:shall|must)\\b') THEN 0.15::DOUBLE ELSE 0 END, 2) END AS confidence FROM nu) SELECT *, least(confidence + 0.15::DOUBLE, 1.0::DOUBLE) AS with_article FROM c""",
