@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,15 +21,18 @@ def _messages(df):
 
 
 def _merge_stream(spark, d):
-    """The events table as a stream of files, followed until it has been read."""
+    """The events table as a stream of files, followed until it has been read; then
+    played again from the start with another checkpoint, which changes nothing."""
     place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = f"{d.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(source).schema
-    folder, pattern = (source, "*.parquet") if os.path.isdir(source) else (d, "events.parquet")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    state = S.VersionedTable(spark, f"{place}/table", _STATE)
-    q = S.follow(_messages(stream), state, "user_id", f"{place}/checkpoint")
-    q.awaitTermination()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    where, pattern = (source, "*.parquet") if folder else (d, "events.parquet")
+    state = S.VersionedTable(spark, f"{place}/table", _STATE, "user_id")
+    for run in ("first", "again"):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 4).parquet(where)
+        S.follow(_messages(stream), state, f"{place}/checkpoint-{run}").awaitTermination()
     return state.read().select("user_id", "event_type", "value")
 
 

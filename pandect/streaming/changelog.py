@@ -1,13 +1,17 @@
 """Change streams: filtered changelogs, enrichment, incremental counts.
 
-A table is kept as versions: each micro-batch writes the new state to a new
-folder and then moves a pointer to it, so a batch that fails or is played
-again leaves no half-written state, and readers see whole versions. The last
-applied offset of a key is part of its row, so replays change nothing.
+A table is kept in buckets of its keys. A micro-batch writes anew only the
+buckets that its keys fall into, below a new version, and then a manifest that
+names the version of every bucket: so a batch costs what it touches, one that
+fails or is played again leaves no half-written state, and readers see whole
+versions. The last applied offset of a key is part of its row, deleted keys
+keep theirs as tombstones, and only that decides what a message changes: a
+batch, a checkpoint that was lost, or a whole stream may be played again.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -16,41 +20,80 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 OFFSET = "__offset"
+DELETED = "__deleted"
+BUCKETS = 64
 
 
 class VersionedTable:
-    """Parquet versions below a folder, and a pointer to the current one."""
+    """Parquet buckets below a folder, and manifests of whole versions."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder.rstrip("/"), schema, key, buckets
+        self.stored = T.StructType([*schema, T.StructField(DELETED, T.BooleanType())])
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
+    def _names(self, name: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(name))] if self._fs.exists(self._path(name)) else []
+
     def version(self) -> int:
         """The current version, -1 before the first."""
-        if not self._fs.exists(self._path("")):
-            return -1
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return max([int(n[2:]) for n in found if n.startswith("v=") and f"done-{n[2:]}" in found], default=-1)
+        return max([int(n.removeprefix("manifest-")) for n in self._names() if n.startswith("manifest-")], default=-1)
+
+    def manifest(self, version: int | None = None) -> dict[int, int]:
+        """Version of every bucket that has rows."""
+        v = self.version() if version is None else version
+        if v < 0 or not self._fs.exists(self._path(f"manifest-{v}")):
+            return {}
+        stream = self._fs.open(self._path(f"manifest-{v}"))
+        try:
+            text = bytes(b & 255 for b in stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return {int(b): n for b, n in json.loads(text).items()}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read_stored(self, buckets: list[int] | None = None) -> DataFrame:
+        """Rows with tombstones, of some buckets or of all."""
+        paths = [f"{self.folder}/v={n}/__bucket={b}" for b, n in self.manifest().items() if buckets is None or b in set(buckets)]
+        return self.spark.read.schema(self.stored).parquet(*paths) if paths else self.spark.createDataFrame([], self.stored)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={v}")
-
-    def write(self, df: DataFrame, version: int | None = None, keep: int = 2) -> int:
-        """Write a version, then its pointer; older versions than ``keep`` go."""
-        v = self.version() + 1 if version is None else version
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/v={v}")
-        self._fs.create(self._path(f"done-{v}"), True).close()
-        for old in range(max(0, v - keep)):
-            for name in (f"done-{old}", f"v={old}"):
-                self._fs.delete(self._path(name), True)
+        return self.read_stored().where(~F.col(DELETED)).drop(DELETED)
+
+    def touched(self, messages: DataFrame) -> list[int]:
+        """Buckets of the messages' keys: at most ``buckets`` numbers."""
+        return [r[0] for r in messages.select(self.bucket().alias("b")).distinct().collect()]
+
+    def write(self, rows: DataFrame, touched: list[int], keep: int = 2) -> int:
+        """A new version in which the touched buckets hold ``rows`` and all others
+        what they held; buckets that no manifest of the last ``keep`` names go."""
+        v = self.version() + 1
+        rows.withColumn("__bucket", self.bucket()).repartition(max(1, len(touched)), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder}/v={v}")
+        made = {int(n.removeprefix("__bucket=")): v for n in self._names(f"v={v}") if n.startswith("__bucket=")}
+        now = {b: n for b, n in self.manifest().items() if b not in set(touched)} | made
+        out = self._fs.create(self._path(f"new-{v}"), True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        self._fs.rename(self._path(f"new-{v}"), self._path(f"manifest-{v}"))
+        self._forget(v, keep)
         return v
 
+    def _forget(self, version: int, keep: int) -> None:
+        kept = range(max(0, version - keep + 1), version + 1)
+        used = {item for k in kept for item in self.manifest(k).items()}
+        for name in self._names():
+            kind, _, n = name.partition("-") if name.startswith("manifest-") else name.partition("=")
+            if kind == "manifest" and int(n) not in kept:
+                self._fs.delete(self._path(name), True)
+            elif kind == "v" and int(n) <= version:
+                for b in [x for x in self._names(name) if x.startswith("__bucket=") and (int(x.removeprefix("__bucket=")), int(n)) not in used]:
+                    self._fs.delete(self._path(f"{name}/{b}"), True)
+
 
 def latest(messages: DataFrame, key: str, offset: str) -> DataFrame:
     """The last message of each key."""
@@ -58,24 +101,38 @@ def latest(messages: DataFrame, key: str, offset: str) -> DataFrame:
     return messages.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
-def apply_messages(state: DataFrame, messages: DataFrame, key: str, offset: str = OFFSET, operation: str = "operation") -> DataFrame:
-    """State after a batch: inserts and updates replace, deletes remove, control
-    messages (without operation) and offsets already seen change nothing."""
+def apply_stored(state: DataFrame, messages: DataFrame, key: str, offset: str = OFFSET, operation: str = "operation") -> DataFrame:
+    """State with tombstones (``DELETED``) after a batch: inserts and updates
+    replace, deletes leave a tombstone, control messages (without operation) and
+    offsets already seen change nothing."""
     known = state.select(F.col(key), F.col(offset).alias("__seen"))
     data = messages.where(F.col(operation).isin("insert", "update", "delete") & F.col(key).isNotNull())
     new = latest(data, key, offset).join(known, key, "left").where(F.col("__seen").isNull() | (F.col(offset) > F.col("__seen"))).drop("__seen")
-    kept = state.join(new.select(key), key, "left_anti")
-    return kept.unionByName(new.where(F.col(operation) != "delete").select(*state.columns))
+    new = new.withColumn(DELETED, F.col(operation) == "delete")
+    return state.join(new.select(key), key, "left_anti").unionByName(new.select(*state.columns))
+
+
+def apply_messages(state: DataFrame, messages: DataFrame, key: str, offset: str = OFFSET, operation: str = "operation") -> DataFrame:
+    """State after a batch, without tombstones on either side."""
+    after = apply_stored(state.withColumn(DELETED, F.lit(False)), messages, key, offset, operation)
+    return after.where(~F.col(DELETED)).drop(DELETED)
 
 
-def follow(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str, predicate: Column | None = None, **trigger) -> StreamingQuery:
+def follow(stream: DataFrame, table: VersionedTable, checkpoint: str, predicate: Column | None = None, **trigger) -> StreamingQuery:
     """Keep a table in step with a changelog. The predicate belongs to the
-    stream: another one needs another table and checkpoint."""
-    shaped = stream if predicate is None else stream.where(predicate | (F.col("operation") == "delete"))
+    stream: another one needs another table and checkpoint. A row that no longer
+    meets the predicate counts as deleted."""
+    meets = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
+    left = F.col("operation").isin("insert", "update") & ~meets
+    shaped = stream.withColumn("operation", F.when(left, "delete").otherwise(F.col("operation")))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        if epoch > table.version():
-            table.write(apply_messages(table.read(), df, key), epoch)
+        df = df.where(F.col("operation").isNotNull() & F.col(table.key).isNotNull()).persist()
+        try:
+            if touched := table.touched(df):
+                table.write(apply_stored(table.read_stored(touched), df, table.key), touched)
+        finally:
+            df.unpersist()
 
     return shaped.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

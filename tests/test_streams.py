@@ -19,22 +19,43 @@ def test_messages_are_applied_once(spark):
 
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     source = str(tmp_path / "in")
-    state = S.VersionedTable(spark, str(tmp_path / "table"), STATE)
+    state = S.VersionedTable(spark, str(tmp_path / "table"), STATE, "id", 4)
     assert state.version() == -1 and state.read().count() == 0
 
-    def feed(data):
+    def play(checkpoint):
+        stream = spark.readStream.schema(MSG).option("maxFilesPerTrigger", 1).parquet(source)
+        S.follow(stream, state, str(tmp_path / checkpoint), F.col("v") > 0).awaitTermination()
+
+    def feed(data, checkpoint="cp"):
         spark.createDataFrame(data, MSG).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(MSG).parquet(source)
-        q = S.follow(stream, state, "id", str(tmp_path / "cp"), F.col("v") > 0)
-        q.awaitTermination()
+        play(checkpoint)
 
-    feed([("a", 1, 1, "insert"), ("b", 0, 2, "insert"), ("c", 5, 3, "insert")])
+    feed([("a", 1, 1, "insert"), ("b", 0, 2, "insert"), ("c", 5, 3, "insert"), (None, 1, 4, None)])
     assert rows(state.read()) == [("a", 1, 1), ("c", 5, 3)]
     feed([("a", 2, 4, "update"), ("c", 0, 5, "delete")])
     assert rows(state.read()) == [("a", 2, 4)] and state.version() == 1
-    for v in (2, 3, 4):
-        state.write(state.read())
-    assert state.version() == 4 and rows(state.read()) == [("a", 2, 4)]
+    # A lost checkpoint: all batches come again in any order, and one more.
+    feed([("d", 7, 6, "insert"), ("a", -1, 7, "update")], "new")
+    assert rows(state.read()) == [("d", 7, 6)] and state.version() == 4
+    play("newer")
+    assert rows(state.read()) == [("d", 7, 6)]
+
+
+def test_a_batch_writes_its_buckets_only(spark, tmp_path):
+    state = S.VersionedTable(spark, str(tmp_path / "table"), STATE, "id", 8)
+    everything = spark.createDataFrame([(f"k{i}", i, i, "insert") for i in range(100)], MSG)
+    state.write(S.apply_stored(state.read_stored(), everything, "id"), state.touched(everything))
+    one = spark.createDataFrame([("k5", 0, 200, "delete")], MSG)
+    touched = state.touched(one)
+    state.write(S.apply_stored(state.read_stored(touched), one, "id"), touched)
+    after = state.manifest()
+    assert len(touched) == 1 and [b for b, v in after.items() if v == 1] == touched and len(after) == 8
+    assert state.read().count() == 99
+    for _ in range(3):
+        state.write(state.read_stored(touched), touched)
+    kept = {n for n in state._names() if n.startswith("manifest")}
+    assert kept == {"manifest-3", "manifest-4"} and state.read().count() == 99
+    assert state._names("v=1") == ["_SUCCESS"]
 
 
 def test_enrichment_and_dead_letters(spark):
