@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pandect.functions.keys import law_key
 from pandect.functions.text import squeeze_blanks
 from pandect.operators.tree_aggregate import tree_aggregate
+from pandect.plans.cut import stored
 
 #: A law is heavy from this part of a table's distinct units or annotations.
 HEAVY_SHARE = 0.04
@@ -32,11 +33,11 @@ def totals(units: DataFrame, annotations: DataFrame, characters: bool = True) ->
     """``table_name, law_name, items, characters, share``: per law its distinct
     units or annotations, the characters of their newest texts, and the part of
     the table's distinct items that it holds. Laws are law keys."""
-    expected = units.count() + annotations.count()  # row counts come from file metadata
     rows = _items(units, "lat", "section_id", characters).unionByName(_items(annotations, "amendment_annotations", "id", characters))
     one = F.lit(1).cast("bigint")
     states = {"items": (one, "sum"), "characters": (F.col("size").cast("bigint"), "sum"), "distinct_items": (F.when(F.col("n") == 0, one).otherwise(0), "sum")}
-    per_law = tree_aggregate(rows, ["table_name", "law_name"], states, expected)
+    # One row per law, stored: it is read for itself and for the tables' sums.
+    per_law = stored(tree_aggregate(rows, ["table_name", "law_name"], states))
     whole = per_law.groupBy("table_name").agg(F.sum("distinct_items").alias("table_items"))
     out = per_law.where(F.col("law_name").isNotNull()).join(whole, "table_name")
     return out.select("table_name", "law_name", "items", "characters", "table_items")

@@ -6,9 +6,12 @@ key that holds a third of all rows has as many chunk states as its rows fill
 chunks; no task of any round merges more than ``fan_in`` of them.
 
 Chunks are stretches of an input partition, so combining a chunk is the map
-side of the first shuffle and never moves rows. Each round shuffles states
-only, at most one per key and slot, and keys in few chunks are done after
-the first.
+side of the first shuffle and never moves rows. Their states are stored, which
+tells the largest slot (partition and chunk) there is: as a round merges the
+slots of one stretch of ``fan_in``, and there are as many rounds as bring the
+largest slot below ``fan_in``, no merge, the last included, ever takes more
+than ``fan_in`` states, however the rows lie in their partitions. Each round
+shuffles states only.
 
 Cases: null keys form a group as in SQL; an empty input gives no groups; a
 state must be merged by the same function that makes it (sum, min, max,
@@ -17,38 +20,44 @@ bool_or, bit_xor), which all of ``MERGES`` are.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pandect.plans.cut import stored
+
 CHUNK_ROWS = 65_536
 FAN_IN = 16
 MERGES = {"sum": F.sum, "min": F.min, "max": F.max, "any": F.bool_or, "xor": F.bit_xor}
 _ROW_BITS = 33
 
 
-def rounds_for(rows: int, partitions: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> int:
-    """Fan-in rounds that reduce the chunks of so many rows to at most ``fan_in``."""
-    chunks = rows // chunk_rows + partitions
-    return max(0, math.ceil(math.log(max(chunks, 1), fan_in)) - 1)
-
+def rounds_for(slots: int, fan_in: int = FAN_IN) -> int:
+    """Fan-in rounds that bring slots 0 to ``slots`` - 1 to at most ``fan_in``."""
+    rounds = 0
+    while slots > fan_in:
+        slots = -(-slots // fan_in)
+        rounds += 1
+    return rounds
 
-def tree_aggregate(rows: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[Column, str]], expected_rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """``keys`` and one column per state; ``states`` maps a name to what is
-    combined and how (a key of ``MERGES``).
 
-    ``expected_rows`` (an upper bound as from file metadata) sets the number of
-    rounds; the result is the same whatever it is.
-    """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def merges(rows: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[Column, str]], chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> list[DataFrame]:
+    """The states (``keys``, ``__slot``, one column per state) before each
+    merge: those of the chunks first, those that the last merge takes at the end."""
     place = F.monotonically_increasing_id()
-    chunk = F.floor(F.pmod(place, F.lit(1 << _ROW_BITS)) / chunk_rows).cast("bigint")
-    slot = F.shiftright(place, _ROW_BITS) + chunk * partitions
-    made = rows.select(*keys, slot.alias("__slot"), *[c.alias(n) for n, (c, _) in states.items()])
+    made = rows.select(*keys, F.shiftright(place, _ROW_BITS).alias("__part"), F.floor(F.pmod(place, F.lit(1 << _ROW_BITS)) / chunk_rows).cast("bigint").alias("__chunk"), *[c.alias(n) for n, (c, _) in states.items()])
     merged = [MERGES[how](n).alias(n) for n, (_, how) in states.items()]
-    made = made.groupBy(*keys, "__slot").agg(*merged)
-    for _ in range(rounds_for(expected_rows, partitions, chunk_rows, fan_in)):
-        made = made.withColumn("__slot", F.floor(F.col("__slot") / fan_in).cast("bigint")).groupBy(*keys, "__slot").agg(*merged)
-    return made.groupBy(*keys).agg(*merged)
+    made = stored(made.groupBy(*keys, "__part", "__chunk").agg(*merged))
+    parts, chunks = made.agg(F.coalesce(F.max("__part"), F.lit(0)) + 1, F.coalesce(F.max("__chunk"), F.lit(0)) + 1).first()
+    out = [made.select(*keys, (F.col("__part") + F.col("__chunk") * parts).alias("__slot"), *states)]
+    for _ in range(rounds_for(parts * chunks, fan_in)):
+        out.append(out[-1].withColumn("__slot", F.floor(F.col("__slot") / fan_in).cast("bigint")).groupBy(*keys, "__slot").agg(*merged))
+    return out
+
+
+def tree_aggregate(rows: DataFrame, keys: Sequence[str], states: Mapping[str, tuple[Column, str]], chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """``keys`` and one column per state; ``states`` maps a name to what is
+    combined and how (a key of ``MERGES``)."""
+    last = merges(rows, keys, states, chunk_rows, fan_in)[-1]
+    return last.groupBy(*keys).agg(*[MERGES[how](n).alias(n) for n, (_, how) in states.items()])
