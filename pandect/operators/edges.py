@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,17 +94,19 @@ def function_labels(laws: DataFrame, relations: Mapping[str, str], making: Colum
     return out.select("name", F.array_sort(F.concat("__own", F.coalesce("__reach", F.array().cast("array<string>")))).alias("labels"))
 
 
-def cascade(edge_rows: DataFrame, seeds: DataFrame, layers: int = LAYERS) -> DataFrame:
+def cascade(edge_rows: DataFrame, seeds: DataFrame, layers: int | None = LAYERS) -> DataFrame:
     """``name, layer, sources``: laws reached from the seeds (``name``) in at
-    most ``layers`` steps, each in its first layer, with the laws of the layer
+    most ``layers`` steps (None: until nothing new is reached), each in its first layer, with the laws of the layer
     before that lead to it; edges to itself don't count. Every layer is cut
     from its lineage, so the plan doesn't grow with the depth."""
     links = edge_rows.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
     seen = seeds.select("name").distinct()
     frontier, out = seen, []
-    for layer in range(1, layers + 1):
+    for layer in count(1) if layers is None else range(1, layers + 1):
         step = links.join(frontier.select(F.col("name").alias("src")), "src", "left_semi").join(seen.select(F.col("name").alias("dst")), "dst", "left_anti")
         found = cut(step.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("sources")))
+        if layers is None and out and found.isEmpty():
+            break
         out.append(found.withColumn("layer", F.lit(layer)).select("name", "layer", "sources"))
         frontier = found.select("name")
         seen = seen.unionByName(frontier)

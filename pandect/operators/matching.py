@@ -69,11 +69,12 @@ def specific(text: Column, acts: Sequence[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(i)) for p, i in acts]))
 
 
-def clause_of(text: Column, start: str, longest: int = 500) -> Column:
-    """From a phrase to the first full stop before a capital, else ``longest`` characters."""
+def clause_of(text: Column, start: str, longest: int | None = None) -> Column:
+    """From a phrase to the first full stop before a capital, else to the end of
+    the text, or ``longest`` characters if that is given."""
     rest = F.regexp_extract(text, rf"(?s)({start}.*)$", 1)
     ended = F.regexp_extract(rest, r"(?s)^(.*?\.)\s+[A-Z]", 1)
-    return F.when(rest != "", F.when(ended != "", ended).otherwise(F.substring(rest, 1, longest)))
+    return F.when(rest != "", F.when(ended != "", ended).otherwise(rest if longest is None else F.substring(rest, 1, longest)))
 
 
 def links_of_references(clause: Column, urls: Column, host: str, pattern: str = r"\b([fc]\d{5})\b") -> Column:

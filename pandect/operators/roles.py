@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 #: Edge of an actor's name: a blank or a punctuation mark.
 EDGE = r"[\s\p{P}\p{S}]"
-#: Characters between an actor and its modal, and of the action behind it.
+#: Characters that a pattern allows between an actor and its modal, and for the action behind it. Fixed values.
 BEFORE, BEHIND = 150, 200
-LONGEST_CLAUSE = 300
-#: Texts above this are searched only around modals.
-LARGE = 50_000
+#: Characters before and behind a modal that a search in windows looks at.
 WINDOW = (400, 200)
 #: Modal per kind of rule, for actors that are bound and for those that govern. Fixed values.
 KINDS = {"DUTY": (False, r"(?:shall|must)(?!\s+have the power)"), "RIGHT": (False, r"may(?!\s+not|\s+be)"), "RESPONSIBILITY": (True, r"(?:shall|must)(?!\s+have the power)"), "POWER": (True, r"may(?!\s+not|\s+be)")}
@@ -56,9 +54,11 @@ def actors_in(text: str | None, library: Sequence[tuple[str, regex.Pattern]]) ->
     return sorted(found)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around the modals of a text, overlapping ones united; all of a text that isn't large."""
-    if len(text) <= LARGE:
+def windows(text: str, large: int | None = None) -> list[tuple[int, int]]:
+    """All of a text, or, if it has more than ``large`` characters, stretches
+    around its modals, overlapping ones united: faster, but an actor farther
+    from its modal than a window isn't seen."""
+    if large is None or len(text) <= large:
         return [(0, len(text))]
     out: list[tuple[int, int]] = []
     for m in MODAL.finditer(text):
@@ -70,37 +70,43 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def refine(text: str, modal: tuple[int, int]) -> str:
+def refine(text: str, modal: tuple[int, int], longest: int | None = None) -> str:
     """One line around a modal (its start and end): from the start of its
-    sentence to the end of its action, at most ``LONGEST_CLAUSE`` characters,
-    cut at a word."""
+    sentence to the end of its action; if ``longest`` is given, at most so many
+    characters, cut at a word."""
     start = max((m.end() for m in regex.finditer(r"[.;]\s+(?=\p{Lu})", text[: modal[0]])), default=0)
     end = regex.search(r"[.;](?=\s|$)", text[modal[1] :])
     text = " ".join((text[start : modal[1] + end.end()] if end else text[start:]).split())
-    if len(text) > LONGEST_CLAUSE:
-        text = text[: LONGEST_CLAUSE - 3].rsplit(" ", 1)[0]
+    if longest is not None and len(text) > longest:
+        text = text[: longest - 3].rsplit(" ", 1)[0]
     return text if text.endswith((".", ";", "!", "?", ")")) else text.rstrip(" ,") + "..."
 
 
-def clauses_in(text: str | None, library: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, bool]]:
+def rule_patterns(library: Sequence[tuple[str, str]]) -> list[tuple[str, str, regex.Pattern]]:
+    """(name, kind, pattern) of every actor and each kind of rule it can have."""
+    return [
+        (name, kind, regex.compile(rf"(?:^|{EDGE})(?:{actor})(?={EDGE})[^—.]{{0,{BEFORE}}}?\b(?P<modal>{modal})[,\s—]+(?P<action>(?s:.){{1,{BEHIND}}})?"))
+        for name, actor in library
+        for kind, (government, modal) in KINDS.items()
+        if government == governs(name)
+    ]
+
+
+def clauses_in(text: str | None, patterns: Sequence[tuple[str, str, regex.Pattern]], large: int | None = None, longest: int | None = None) -> list[tuple[str, str, str, bool]]:
     """(name, kind, clause, action seen) of the rules in a text. Of actors with
     the same clause the one with the longest name is kept, the first of equals."""
-    if not text:
+    if not text or not MODAL.search(text):
         return []
     best: dict[tuple[str, str], tuple[str, str, str, bool]] = {}
-    for name, actor in library:
-        for kind, (government, modal) in KINDS.items():
-            if government != governs(name):
-                continue
-            pattern = regex.compile(rf"(?:^|{EDGE})(?:{actor})(?={EDGE})[^—.]{{0,{BEFORE}}}?\b(?P<modal>{modal})[,\s—]+(?P<action>(?s:.){{1,{BEHIND}}})?")
-            for a, b in windows(text):
-                # Overlapping matches: what one takes for its action may hold the next rule.
-                for m in pattern.finditer(text, a, b, overlapped=True):
-                    base = max(0, m.start() - 100)
-                    clause = refine(text[base : m.end()], (m.start("modal") - base, m.end("modal") - base))
-                    key = (kind, clause.lower()[:100])
-                    if key not in best or len(name) > len(best[key][0]):
-                        best[key] = (name, kind, clause, m.group("action") is not None)
+    for name, kind, pattern in patterns:
+        for a, b in windows(text, large):
+            # Overlapping matches: what one takes for its action may hold the next rule.
+            for m in pattern.finditer(text, a, b, overlapped=True):
+                base = max(0, m.start() - 100)
+                clause = refine(text[base : m.end()], (m.start("modal") - base, m.end("modal") - base), longest)
+                key = (kind, clause.lower())
+                if key not in best or len(name) > len(best[key][0]):
+                    best[key] = (name, kind, clause, m.group("action") is not None)
     return sorted(best.values())
 
 
@@ -110,39 +116,38 @@ def _compiled(library: Sequence[tuple[str, str]]) -> list[tuple[str, regex.Patte
 
 def with_actors(df: DataFrame, text: str, library: Sequence[tuple[str, str]]) -> DataFrame:
     """``df`` with the actors of a text: ``role`` (bound) and ``role_gvt`` (governing)."""
-    own = [x for x in library if not governs(x[0])]
-    gvt = [x for x in library if governs(x[0])]
 
-    return df.withColumn("role", _iter_udf(own, actors_in)(F.col(text))).withColumn("role_gvt", _iter_udf(gvt, actors_in)(F.col(text)))
-
-
-def _iter_udf(library, fn):
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = _compiled(library)
+    @F.pandas_udf("role array<string>, role_gvt array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = _compiled([x for x in library if not governs(x[0])])
+        gvt = _compiled([x for x in library if governs(x[0])])
         for s in batches:
-            yield s.map(lambda t: fn(t, compiled))
+            yield pd.DataFrame({"role": s.map(lambda t: actors_in(t, own)), "role_gvt": s.map(lambda t: actors_in(t, gvt))})
 
-    return run
+    both = df.select("*", run(F.col(text)).alias("__actors"))
+    return both.select(*df.columns, "__actors.role", "__actors.role_gvt")
 
 
 CLAUSE = "array<struct<holder:string,duty_type:string,clause:string,captured:boolean>>"
 
 
-def clauses(text: Column, library: Sequence[tuple[str, str]]) -> Column:
-    """Rules of a text as an array of ``CLAUSE`` structs."""
+def clauses(text: Column, library: Sequence[tuple[str, str]], large: int | None = None, longest: int | None = None) -> Column:
+    """Rules of a text as an array of ``CLAUSE`` structs. Texts without any
+    modal don't leave the JVM with their words."""
 
     @F.pandas_udf(CLAUSE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns = rule_patterns(library)  # once per task
         for s in batches:
-            yield s.map(lambda t: [dict(zip(("holder", "duty_type", "clause", "captured"), c, strict=True)) for c in clauses_in(t, library)])
+            yield s.map(lambda t: [dict(zip(("holder", "duty_type", "clause", "captured"), c, strict=True)) for c in clauses_in(t, patterns, large, longest)])
 
-    return run(text)
+    return run(F.when(text.rlike(r"(?i)\b(?:shall|must|may)\b"), text))
 
 
 def merged_by_law(rows: DataFrame) -> DataFrame:
     """Rules of a law's units as one document per law: distinct entries, sorted
     holders and articles. Entries are distinct before they are gathered."""
     one = rows.select("law_name", "article", F.explode("rules").alias("r")).select("law_name", "article", "r.*").distinct()
+    # One document per law is the result asked for, so a law's distinct rules meet in one row.
     entry = F.struct("holder", "duty_type", "clause", "article")
     return one.groupBy("law_name").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.collect_set("holder")).alias("holders"), F.array_sort(F.collect_set("article")).alias("articles"), F.array_sort(F.collect_set("duty_type")).alias("duty_types"))

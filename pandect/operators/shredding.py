@@ -13,13 +13,18 @@ need the shape in advance, and here one column holds several encodings.
 Cases: null, empty and broken text give no nodes; a JSON string that holds
 JSON itself is opened (once more for each such layer); of a key given twice in
 an object the last counts; nulls are nodes of kind 'null'; depth is not
-limited (the walk keeps its own stack), nor is the number of nodes.
+limited (parser and walk keep their own stacks), nor is the number of nodes.
+A node's path is spelled down to ``PATH_DEPTH`` levels, since spelling every
+path of a deep document takes space in the square of its depth; below it is
+null and the way leads over the parents.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +33,7 @@ from pyspark.sql import types as T
 
 #: Nodes in one batch that the parser hands back.
 BATCH_NODES = 50_000
+PATH_DEPTH = 64
 
 NODE = T.StructType(
     [
@@ -42,31 +48,108 @@ NODE = T.StructType(
 )
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+_ESCAPED = str.maketrans({c: f"\\{c}" for c in "\\.[]"})
+
+
+def _deep(text: str):
+    """The value of a JSON text of any depth: a parser with a stack of its own,
+    for texts on which the library's recursion gives up."""
+    space, at, done = _BLANKS.match, 0, False
+    top: list = []
+    stack: list = [top]  # open containers; an object waits as [object, key]
+
+    def put(value) -> None:
+        holder = stack[-1]
+        if isinstance(holder, tuple):
+            holder[0][holder[1].pop()] = value
+        else:
+            holder.append(value)
+
+    def key(at: int) -> int:
+        at = space(text, at).end()
+        if text[at : at + 1] != '"':
+            raise ValueError("key expected")
+        name, at = scanstring(text, at + 1)
+        at = space(text, at).end()
+        if text[at : at + 1] != ":":
+            raise ValueError(": expected")
+        stack[-1][1].append(name)
+        return at + 1
+
+    while not done:
+        at = space(text, at).end()
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            made: dict | list = {} if c == "{" else []
+            put(made)
+            at = space(text, at + 1).end()
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                stack.append((made, []) if c == "{" else made)
+                at = key(at) if c == "{" else at
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+            put(value)
+        elif m := _SCALAR.match(text, at):
+            put(json.loads(m.group()))
+            at = m.end()
+        else:
+            raise ValueError("value expected")
+        # A value ended: so may the containers around it.
+        while True:
+            at = space(text, at).end()
+            if stack[-1] is top:
+                done = True
+                break
+            c, inside = text[at : at + 1], isinstance(stack[-1], tuple)
+            at += 1
+            if c == ",":
+                at = key(at) if inside else at
+                break
+            if c != ("}" if inside else "]"):
+                raise ValueError(", or end expected")
+            stack.pop()
+    if at != len(text):
+        raise ValueError("more than one value")
+    return top[0]
+
+
+def _value(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
 def nodes_of(text: str | None) -> list[tuple]:
     """Nodes of one document in document order; the root is node 0.
 
-    ``path`` names the way from the root: labels of objects below fixed names
-    are in ``label``, list elements are ``[]`` and other keys ``.key``.
+    ``path`` names the way from the root: list elements are ``[]`` and keys
+    ``.key``, with a backslash before each of ``\\ . [ ]`` in a key.
     """
     if text is None:
         return []
     try:
-        value = json.loads(text)
+        value = _value(text)
         while isinstance(value, str) and value.lstrip()[:1] in ('"', "{", "["):
-            value = json.loads(value)
-    except (ValueError, RecursionError):
+            value = _value(value)
+    except ValueError:
         return []
     out: list[tuple] = []
-    stack: list[tuple] = [(value, None, None, None, "$")]
+    stack: list[tuple] = [(value, None, None, None, "$", 0)]
     while stack:
-        v, parent, label, ordinal, path = stack.pop()
-        n = len(out)
+        v, parent, label, ordinal, path, depth = stack.pop()
+        n, below = len(out), depth + 1
+        way = path if depth < PATH_DEPTH else None
         if isinstance(v, dict):
             out.append((n, parent, label, ordinal, "object", None, path))
-            stack.extend((x, n, k, i, f"{path}.{k}") for i, (k, x) in reversed(list(enumerate(v.items(), 1))))
+            stack.extend((x, n, k, i, way and f"{way}.{k.translate(_ESCAPED)}", below) for i, (k, x) in reversed(list(enumerate(v.items(), 1))))
         elif isinstance(v, list):
             out.append((n, parent, label, ordinal, "array", None, path))
-            stack.extend((x, n, None, i, f"{path}[]") for i, x in reversed(list(enumerate(v, 1))))
+            stack.extend((x, n, None, i, way and f"{way}[]", below) for i, x in reversed(list(enumerate(v, 1))))
         elif v is None:
             out.append((n, parent, label, ordinal, "null", None, path))
         elif isinstance(v, bool):

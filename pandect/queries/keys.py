@@ -50,7 +50,7 @@ QUERIES = {
     "citations": _units(lambda u: u.select("section_id", C.citation(F.col("section_type"), F.col("provision"), F.col("paragraph"), F.col("sub_paragraph"), F.lit(None).cast("string"), F.col("schedule"), F.col("heading_group"), F.col("part"), F.col("chapter"), F.col("position"), F.col("law_name").rlike("_(?:uksi|ssi|wsi)_")).alias("citation"))),
     "record_types": lambda spark, d: spark.createDataFrame([(k,) for k in [*C.RECORD_TYPES, " Section", "other", "amendment,textual", "part,content", *C.NOTE_HEADINGS]], "record_type string").select("record_type", C.section_type(F.col("record_type")).alias("section_type"), C.is_content(F.col("record_type")).alias("content")),
     "element_types": lambda spark, d: spark.createDataFrame([(k,) for k in [*C.ELEMENTS, "P1", "P2", "Body"]], "element string").select("element", C.element_type(F.col("element")).alias("in_act"), C.element_type(F.col("element"), "article").alias("in_instrument"), C.schedule_of_flow(F.lower("element")).alias("flow")),
-    "code_counts_of_units": _notes(lambda a: a.groupBy("law_name").agg(F.array_sort(F.collect_list("code")).alias("codes")).select("law_name", *[C.count_codes(F.col("codes"), x).cast("bigint").alias(f"n_{t}") for x, t in C.CODE_TYPES.items()])),
+    "code_counts_of_units": _notes(lambda a: a.groupBy("law_name").agg(*[F.coalesce(F.sum(C.count_codes(F.array("code"), x)), F.lit(0)).cast("bigint").alias(f"n_{t}") for x, t in C.CODE_TYPES.items()])),
     "affected_lists": _notes(lambda a: a.select("id", F.array_join(C.listed(F.array_join("affected_sections", ", ")), "|").alias("refs"))),
     "title_classes": _laws(lambda x: x.select("name", T.type_class(F.col("title_en")).alias("type_class"), T.type_name(F.col("type_code")).alias("type_name"), T.acronym(F.col("title_en")).alias("acronym"))),
     "title_tags": _laws(lambda x: x.select("name", F.array_join(T.tags(F.col("title_en")), " ").alias("tags"))),

@@ -73,7 +73,8 @@ def test_paths_of_no_level(spark):
 
 
 def test_purposes(spark):
-    assert of(spark, ["It is payable.", "", None, "A person is liable to a penalty on conviction."], taxa.purposes) == [[taxa.DEFAULT_PURPOSE], [], [], ["Offence", "Enforcement+Prosecution", "Liability"]]
+    assert of(spark, ["It is green.", "", None, "A person is liable to a penalty on conviction."], taxa.purposes) == [[taxa.DEFAULT_PURPOSE], [], [], ["Offence", "Enforcement+Prosecution", "Liability"]]
+    assert of(spark, ["The ducks  quack", "duck"], lambda c: taxa.purposes(c, {"Noise": ["duck quack*", "ducks quack"], "Bird": ["duck"]}, "None")) == [["Noise", "Bird"], ["Bird"]]
     assert of(spark, ["a certificate", "x"], lambda c: taxa.categories(c, F.array(F.lit("Duty")))) == [["Records"], ["Risk Control"]]
     assert of(spark, ["x"], taxa.categories) == [[]]
 
@@ -95,11 +96,18 @@ def test_actors_are_consumed():
 
 
 def test_rules_of_a_text():
-    got = roles.clauses_in("Intro. The kiln master must clean each kiln. The Upland Board may by notice require it.", LIB)
+    lib = roles.rule_patterns(LIB)
+    got = roles.clauses_in("Intro. The kiln master must clean each kiln. The Upland Board may by notice require it.", lib)
     assert ("Ind: Kiln Master", "DUTY", "The kiln master must clean each kiln.", True) in got
     assert any(g[:2] == ("Gvt: Upland Board", "POWER") for g in got)
     long = "x " * 40_000 + "The kiln master must clean it. " + "y " * 40_000
-    assert [g[:2] for g in roles.clauses_in(long, LIB)] == [("Ind: Kiln Master", "DUTY")]
+    assert [g[:2] for g in roles.clauses_in(long, lib)] == [("Ind: Kiln Master", "DUTY")]
+    assert [g[:2] for g in roles.clauses_in(long, lib, large=1000)] == [("Ind: Kiln Master", "DUTY")]
+    # Clauses that are alike in their first hundred characters are two; nothing is cut without being asked.
+    same = "The kiln master must " + "clean and clean " * 8
+    two = roles.clauses_in(f"{same}kilns. {same}hoists.", lib)
+    assert len(two) == 2 and all(len(c) > 140 for _, _, c, _ in two)
+    assert all(len(c) <= 103 for _, _, c, _ in roles.clauses_in(f"{same}kilns.", lib, longest=100))
 
 
 @settings(max_examples=100, deadline=None)

@@ -49,6 +49,10 @@ def test_cascade_stops_and_keeps_first_layer(spark):
     assert got == [("b", 1, ["a"]), ("c", 1, ["a"]), ("d", 2, ["c"]), ("e", 3, ["d"])]
     assert rows(edges.cascade(e, seeds, 1)) == got[:2]
     assert edges.cascade(e.limit(0), seeds).count() == 0
+    long = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(10)], "src string, dst string")
+    start = spark.createDataFrame([("n0",)], "name string")
+    assert edges.cascade(long, start, None).agg(F.max("layer")).first()[0] == 10
+    assert edges.cascade(long.limit(0), start, None).count() == 0
 
 
 def test_status_of_revocations(spark):

@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from pandect.operators import law_documents
 from pandect.operators.law_totals import heavy, law_totals
-from pandect.operators.shredding import adjacency, entities, nodes_of
-from pandect.operators.tree_aggregate import rounds_for, tree_aggregate
+from pandect.operators.shredding import _deep, adjacency, entities, nodes_of
+from pandect.operators.tree_aggregate import merges, rounds_for, tree_aggregate
 from tests.conftest import rows
 
 
-@pytest.mark.parametrize(("chunk", "fan", "expected"), [(1, 2, 5000), (7, 3, 5000), (65_536, 16, 5000), (3, 2, 0)])
-def test_tree_equals_plain_aggregation(spark, chunk, fan, expected):
+@pytest.mark.parametrize(("chunk", "fan"), [(7, 3), (65_536, 16), (100, 2)])
+def test_tree_equals_plain_aggregation(spark, chunk, fan):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 5, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
     states = {"n": (F.lit(1).cast("bigint"), "sum"), "least": (F.col("id"), "min"), "most": (F.col("id"), "max"), "even": (F.col("id") % 2 == 0, "any")}
-    got = tree_aggregate(df.repartition(6), ["k"], states, expected, chunk, fan)
+    got = tree_aggregate(df.repartition(6), ["k"], states, chunk, fan)
     want = df.groupBy("k").agg(F.count("*"), F.min("id"), F.max("id"), F.bool_or(F.col("id") % 2 == 0))
     assert rows(got) == rows(want)
 
 
 def test_rounds_grow_with_the_logarithm():
-    assert [rounds_for(n, 1, 10, 10) for n in (0, 10, 1000, 100_000)] == [0, 0, 2, 4]
+    assert [rounds_for(n, 10) for n in (0, 10, 11, 1000, 100_000)] == [0, 0, 1, 2, 4]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_no_merge_takes_more_than_the_fan_in(spark, partitions):
+    df = spark.range(0, 20_000, 1, partitions).select(F.lit("hot").alias("k"))
+    steps = merges(df, ["k"], {"n": (F.lit(1).cast("bigint"), "sum")}, chunk_rows=20, fan_in=16)
+    assert steps[0].count() >= 1000
+    for step, after in zip(steps, [*steps[1:], None], strict=True):
+        slot = F.lit(0) if after is None else F.floor(F.col("__slot") / 16)
+        most = step.groupBy("k", slot.alias("s")).count().agg(F.max("count")).first()[0]
+        assert most <= 16
 
 
 def test_heavy_laws(spark):
@@ -64,6 +75,33 @@ def test_broken_and_layered_texts():
     assert len(nodes_of("[" * 500 + "]" * 500)) == 500
 
 
+def test_depth_is_not_limited():
+    n = 200_000
+    deep = nodes_of("[" * n + ' {"a": [1, "x\\n", null, {}, []], "b": -1.5e3} ' + "]" * n)
+    assert len(deep) == n + 8 and deep[-1][1:6] == (n, "b", 2, "number", "-1500.0")
+    assert nodes_of("[" * n + "]" * (n - 1)) == [] and nodes_of("[" * n + "]" * n + ",") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON)
+def test_both_parsers_agree(doc):
+    text = json.dumps(doc, indent=1)
+    assert _deep(text) == doc
+    for broken in (text[:-1], text + "}", text.replace(":", "", 1), text.replace(",", ";", 1)):
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            with pytest.raises(ValueError):
+                _deep(broken)
+        else:
+            assert _deep(broken) == want
+
+
+def test_keys_with_dots_and_brackets_are_told_apart():
+    a, b = nodes_of('{"a.b": 1, "c[]": 2}'), nodes_of('{"a": {"b": 1}, "c": [2]}')
+    assert {x[6] for x in a} & {x[6] for x in b} == {"$"}
+
+
 def test_entities_keep_parents(spark):
     docs = spark.createDataFrame([("d", '{"x": [{"a": "1", "b": null}, {"a": 2, "c": [1]}, 5, null]}', 1), ("e", None, 2), ("f", "{", 3), ("g", "{}", 4)], "k string, doc string, node int")
     nodes = adjacency(docs.select("k", "doc"), ["k"], "doc")
