@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pandect.functions.citations import filled
 from pandect.functions.keys import law_key
 from pandect.operators.register import IN_FORCE, PART_REVOKED, REVOKED
-from pandect.plans.cut import cut
+from pandect.plans.cut import stored
 
 LAYERS = 3
 #: Severity of the statuses. Fixed values.
@@ -104,7 +104,7 @@ def cascade(edge_rows: DataFrame, seeds: DataFrame, layers: int | None = LAYERS)
     frontier, out = seen, []
     for layer in count(1) if layers is None else range(1, layers + 1):
         step = links.join(frontier.select(F.col("name").alias("src")), "src", "left_semi").join(seen.select(F.col("name").alias("dst")), "dst", "left_anti")
-        found = cut(step.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("sources")))
+        found = stored(step.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("sources")))
         if layers is None and out and found.isEmpty():
             break
         out.append(found.withColumn("layer", F.lit(layer)).select("name", "layer", "sources"))

@@ -1,8 +1,9 @@
 """Cutting lineage in the folder that the cluster shares.
 
-Both ways leave files that outlive lost executors: ``cut`` a checkpoint,
-``stored`` a Parquet table, which is smaller and lets readers prune columns
-and skip row groups.
+``stored`` writes a Parquet table there: it outlives lost executors, and its
+readers prune columns and skip row groups. The tables belong to the session: it
+deletes them when it ends, or earlier by ``release``, when nothing lazily reads
+them any more.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PLACES: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only a local session without
@@ -30,18 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` from a Parquet table that is written once in the shared folder and
-    goes when the driver ends."""
+    """``df`` from a Parquet table that is written once in the shared folder."""
     place = f"{shared_folder(df.sparkSession).rstrip('/')}/pandect-{uuid.uuid4().hex}"
     df.write.parquet(place)
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _PLACES.append(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables stored so far, for use between jobs whose results have
+    been written; how many there were."""
+    n = len(_PLACES)
+    while _PLACES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PLACES.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return n

@@ -50,7 +50,7 @@ QUERIES = {
     "citations": _units(lambda u: u.select("section_id", C.citation(F.col("section_type"), F.col("provision"), F.col("paragraph"), F.col("sub_paragraph"), F.lit(None).cast("string"), F.col("schedule"), F.col("heading_group"), F.col("part"), F.col("chapter"), F.col("position"), F.col("law_name").rlike("_(?:uksi|ssi|wsi)_")).alias("citation"))),
     "record_types": lambda spark, d: spark.createDataFrame([(k,) for k in [*C.RECORD_TYPES, " Section", "other", "amendment,textual", "part,content", *C.NOTE_HEADINGS]], "record_type string").select("record_type", C.section_type(F.col("record_type")).alias("section_type"), C.is_content(F.col("record_type")).alias("content")),
     "element_types": lambda spark, d: spark.createDataFrame([(k,) for k in [*C.ELEMENTS, "P1", "P2", "Body"]], "element string").select("element", C.element_type(F.col("element")).alias("in_act"), C.element_type(F.col("element"), "article").alias("in_instrument"), C.schedule_of_flow(F.lower("element")).alias("flow")),
-    "code_counts_of_units": _notes(lambda a: a.groupBy("law_name").agg(*[F.coalesce(F.sum(C.count_codes(F.array("code"), x)), F.lit(0)).cast("bigint").alias(f"n_{t}") for x, t in C.CODE_TYPES.items()])),
+    "code_counts_of_units": _notes(lambda a: a.groupBy("law_name").agg(*[F.sum(C.count_codes(F.array("code"), x)).cast("bigint").alias(f"n_{t}") for x, t in C.CODE_TYPES.items()])),
     "affected_lists": _notes(lambda a: a.select("id", F.array_join(C.listed(F.array_join("affected_sections", ", ")), "|").alias("refs"))),
     "title_classes": _laws(lambda x: x.select("name", T.type_class(F.col("title_en")).alias("type_class"), T.type_name(F.col("type_code")).alias("type_name"), T.acronym(F.col("title_en")).alias("acronym"))),
     "title_tags": _laws(lambda x: x.select("name", F.array_join(T.tags(F.col("title_en")), " ").alias("tags"))),
@@ -91,7 +91,24 @@ _WHEN = {c: f"CASE WHEN {h} THEN '{n}' END" for (c, h), n in zip(_HAS.items(), (
 _CODES = ", ".join(f"CASE WHEN {h} THEN '{c}' END" for c, h in _HAS.items())
 _KNOWN = f"{_COMPACT} IS NOT NULL AND len(list_filter(string_split({_COMPACT}, '+'), lambda p: p NOT IN ('E', 'W', 'S', 'NI'))) = 0"
 
+def _values(names) -> str:
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ")"
+
+
+def _case(x: str, table) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+
+
+_NOTE_LIST = ", ".join(f"'{n}'" for n in ("", *C.NOTE_HEADINGS))
+_RANK = "CASE x WHEN 'E' THEN 1 WHEN 'W' THEN 2 WHEN 'S' THEN 3 WHEN 'NI' THEN 4 END"
 ORACLE = {
+    "record_types": f"SELECT k AS record_type, {_case('trim(k)', C.RECORD_TYPES)} AS section_type, NOT (trim(k) IN ({_NOTE_LIST}) OR trim(k) LIKE '%,content' OR regexp_matches(trim(k), '^(amendment|subordinate|editorial),')) AS content FROM {_values([*C.RECORD_TYPES, ' Section', 'other', 'amendment,textual', 'part,content', *C.NOTE_HEADINGS])} v(k)",
+    "element_types": f"SELECT k AS element, {_case('k', {**C.ELEMENTS, **C.ELEMENTS_BY_KIND['section']})} AS in_act, {_case('k', {**C.ELEMENTS, **C.ELEMENTS_BY_KIND['article']})} AS in_instrument, CASE WHEN lower(k) NOT IN ('pre', 'main', 'post', 'signed', '') THEN lower(k) END AS flow FROM {_values([*C.ELEMENTS, 'P1', 'P2', 'Body'])} v(k)",
+    "affected_lists": f"WITH {NA}, p AS (SELECT id, list_filter(list_transform(string_split(array_to_string(list_filter(affected_sections, lambda x: x IS NOT NULL), ', '), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM na) SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, '|') END AS refs FROM p",
+    "geography": f"""WITH {NU}, c AS (SELECT law_name, CASE regexp_replace(upper(extent_code), '[. ()]', '', 'g') WHEN 'EW' THEN 'E+W' WHEN 'EWS' THEN 'E+W+S' WHEN '' THEN NULL ELSE regexp_replace(upper(extent_code), '[. ()]', '', 'g') END AS e FROM nu),
+d AS (SELECT DISTINCT law_name, e FROM c WHERE e IS NOT NULL AND law_name IS NOT NULL),
+r AS (SELECT law_name, string_agg(CASE x WHEN 'E' THEN 'England' WHEN 'W' THEN 'Wales' WHEN 'S' THEN 'Scotland' WHEN 'NI' THEN 'Northern Ireland' END, '|' ORDER BY {_RANK}) AS regions, string_agg(x, '+' ORDER BY {_RANK}) AS pan FROM (SELECT DISTINCT law_name, unnest(string_split(e, '+')) AS x FROM d) GROUP BY 1)
+SELECT law_name, string_agg(e, '|' ORDER BY strlen(e) DESC, e) AS extents, any_value(regions) AS regions, any_value(CASE pan WHEN 'E+W+S+NI' THEN 'UK' WHEN 'E+W+S' THEN 'GB' ELSE pan END) AS geo_pan_region FROM d JOIN r USING (law_name) GROUP BY law_name""",
     "law_ids": f"WITH {NL} SELECT name, 'UK_' || type_code || '_' || year || '_' || number AS built, concat_ws('/', type_code, year, number) AS slash, replace(replace(name, 'UK_', ''), '_', '/') AS slashed, name AS back FROM nl",
     "reference_keys": f"WITH {NL}, r AS (SELECT name, unnest(amending) AS raw, generate_subscripts(amending, 1) - 1 AS n FROM nl) SELECT name, CAST(n AS INT) AS n, {key_sql('raw')} AS ref FROM r",
     "acronym_names": f"WITH {NL} SELECT name, CASE WHEN title_en IS NOT NULL THEN name END AS before, CASE WHEN title_en IS NOT NULL THEN name END AS behind FROM nl",

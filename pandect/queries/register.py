@@ -148,6 +148,7 @@ def _view_sql(name: str, select: str = "*") -> str:
 
 _NAMES = ", ".join(f"'{n}'" for n in WANTED)
 ORACLE = {
+    "law_json": f"WITH {NL} SELECT name, CAST(json_object('name', name, 'title_en', title_en, 'year', year, 'type_code', type_code, 'family', family, 'live', live) AS VARCHAR) AS record FROM nl",
     "laws_by_id": f"WITH {NL} SELECT id, name, title_en FROM nl WHERE name = '{WANTED[1]}'",
     "laws_by_family": f"WITH {NL} SELECT name, family FROM nl WHERE family = 'RECORDS'",
     "laws_by_optional_families": f"WITH {NL} SELECT name, family FROM nl WHERE family = 'PEAT & MOOR'",

@@ -70,7 +70,39 @@ def _arrow(spark, d):
     return files.from_arrow_bytes(spark, files.arrow_bytes(n, ["n_nationkey"]))
 
 
+def _law_pages(spark, d):
+    """Per law a page of XML with its introduction, a note and a clause."""
+    x = register.laws(table(spark, d, "uk_lrt"), "title_en", "year", "number", "live", "geo_extent")
+    gone = F.when(F.col("live").contains("Revoked"), " (revoked)").otherwise("")
+    cite = F.concat(F.lit('<Citation id="c00001" URI="http://register.example/id/ukpga/'), F.col("year").cast("string"), F.lit("/"), F.coalesce("number", F.lit("0")), F.lit('">Act</Citation>'))
+    xml = F.concat(
+        F.lit('<l:Legislation xmlns:l="urn:l" xmlns:dc="urn:dc"><l:Metadata><dc:title>'), _escaped(F.col("title_en")), gone, F.lit("</dc:title><dc:description>About  it</dc:description><dc:subject>A</dc:subject><dc:subject> B </dc:subject>"),
+        F.lit('<l:BodyParagraphs Value="'), (F.length("name") % 7).cast("string"), F.lit('"/></l:Metadata><l:IntroductoryText><l:P>In exercise of powers</l:P></l:IntroductoryText><l:EnactingText>under '), F.lit('<l:FootnoteRef Ref="f00001"/>'), F.regexp_replace(cite, "(</?)Citation", "$1l:Citation"), F.lit('</l:EnactingText><l:Body><l:P1><l:P>First.</l:P></l:P1><l:P1 id="s2"><l:P> </l:P></l:P1></l:Body><l:Footnote id="f00001">'), F.regexp_replace(F.replace(cite, F.lit(' id="c00001"'), F.lit("")), "(</?)Citation", "$1l:Citation"),
+        F.lit('</l:Footnote><l:Commentaries><l:Commentary id="k1" Type="F"><l:Para>Revoked by </l:Para>'), F.regexp_replace(F.replace(cite, F.lit(' id="c00001"'), F.lit("")), "(</?)Citation", "$1l:Citation"), F.lit('</l:Commentary><l:Commentary id="k2" Type="X"/><l:Commentary id="k3" Type="C">Applied</l:Commentary></l:Commentaries></l:Legislation>'),
+    )
+    return x.select("name", xml.alias("xml"))
+
+
+def _listings(spark, d):
+    """Per law a page that lists it and one more, and for some a table."""
+    x = register.laws(table(spark, d, "uk_lrt"), "title_en", "year")
+    html = F.concat(F.lit('<div><h6><a href="/id/first">First</a></h6><p>One  line</p><h6><a href="/id/'), F.translate("name", "_", "/"), F.lit('">'), _escaped(F.col("title_en")), F.lit("</a></h6><p></p></div>"), F.when(F.col("year") % 2 == 0, "<table><tbody><tr></tr></tbody></table>").otherwise(""))
+    return x.select("name", html.alias("html"))
+
+
+def _law_xml(rows, schema):
+    return lambda spark, d: markup.shred(_law_pages(spark, d), ["name"], "xml", rows, schema)
+
+
 QUERIES = {
+    "html_listing": lambda spark, d: markup.shred(_listings(spark, d), ["name"], "html", markup.listing_rows, markup.LISTING_ROW),
+    "html_with_table": lambda spark, d: _listings(spark, d).where(markup.has_table(F.col("html"))).select("name"),
+    "xml_metadata": lambda spark, d: _law_xml(markup.metadata_row, markup.METADATA_ROW)(spark, d).select("name", "title", "description", F.array_join("subjects", "|").alias("subjects"), "body_paras"),
+    "xml_commentaries": _law_xml(markup.commentary_rows, markup.COMMENTARY_ROW),
+    "xml_enacting": lambda spark, d: _law_xml(markup.enacting_row, markup.ENACTING_ROW)(spark, d).select("name", "text", F.array_join(F.col("urls")["f00001"], "|").alias("footnote"), F.array_join(F.col("urls")["c00001"], "|").alias("citation")),
+    "xml_repeal": lambda spark, d: _law_xml(markup.repeal_row, markup.REPEAL_ROW)(spark, d).select("name", "title", "revoked", F.array_join("revoking", "|").alias("revoking")),
+    "xml_provisions": _law_xml(markup.section_rows, markup.SECTION_ROW),
+    "xml_text": lambda spark, d: _law_xml(markup.document_text, markup.TEXT_ROW)(spark, d).select("name", F.length("text").alias("size"), F.contains("text", F.lit("In exercise of powers under")).alias("clause")),
     "xml_units": lambda spark, d: markup.shred(_pages(spark, d), ["section_id"], "xml", markup.unit_rows, markup.UNIT_ROW).select("section_id", "section_type", "provision", "extent_code", "text", "position"),
     "xml_sections": lambda spark, d: markup.shred(_pages(spark, d), ["section_id"], "xml", markup.section_rows, markup.SECTION_ROW).select("section_id", "section_ref"),
     "html_changes": lambda spark, d: markup.shred(_tables(spark, d).where(markup.has_table(F.col("html"))), ["law_name", "item", "detail_no"], "html", markup.change_rows, markup.CHANGE_ROW).select("law_name", "item", "detail_no", "name", "target", "affect", "applied"),
@@ -81,7 +113,16 @@ QUERIES = {
 }
 
 _WORDS = r"trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{1680}\x{85}\x{2028}\x{2029}]+', ' ', 'g'))"
+_L = f"WITH {NL}, x AS (SELECT name, CASE WHEN title_en IS NULL THEN '' ELSE trim(regexp_replace(title_en, '\\s+', ' ', 'g')) END AS t, coalesce(contains(live, 'Revoked'), false) AS gone, year, 'http://register.example/id/ukpga/' || year || '/' || coalesce(number, '0') AS u FROM nl WHERE year IS NOT NULL)"
 ORACLE = {
+    "html_listing": f"{_L} SELECT name, '/id/' || replace(name, '_', '/') AS path, nullif(t, '') AS title_en, NULL AS description FROM x UNION ALL SELECT name, '/id/first', 'First', 'One line' FROM x",
+    "html_with_table": f"{_L} SELECT name FROM x WHERE year % 2 = 0",
+    "xml_metadata": f"{_L} SELECT name, nullif(trim(t || CASE WHEN gone THEN ' (revoked)' ELSE '' END), '') AS title, 'About it' AS description, 'A|B' AS subjects, CAST(length(name) % 7 AS INT) AS body_paras FROM x",
+    "xml_commentaries": f"{_L} SELECT name, 'k1' AS ref, 'F1' AS code, 'amendment' AS code_type, 'Revoked by Act' AS text, CAST(1 AS INT) AS ordinal FROM x UNION ALL SELECT name, 'k3', 'C2', 'modification', 'Applied', 2 FROM x",
+    "xml_enacting": f"{_L} SELECT name, 'In exercise of powers under Act' AS text, u AS footnote, u AS citation FROM x",
+    "xml_repeal": f"{_L} SELECT name, nullif(trim(t || CASE WHEN gone THEN ' (revoked)' ELSE '' END), '') AS title, gone AS revoked, u AS revoking FROM x",
+    "xml_text": f"{_L} SELECT name, CAST(length(trim(t || CASE WHEN gone THEN ' (revoked)' ELSE '' END || ' About it A B In exercise of powers under Act First. Act Revoked by Act Applied')) AS INT) AS size, true AS clause FROM x",
+    "xml_provisions": f"{_L} SELECT name, 'section-1' AS section_ref, 'First.' AS text FROM x",
     "xml_units": f"WITH {NU} SELECT section_id, 'section' AS section_type, nullif(regexp_replace(provision, '[.()\\s]+', '', 'g'), '') AS provision, nullif(replace(extent_code, 'N.I.', 'NI'), '') AS extent_code, nullif({_WORDS}, '') AS text, CAST(1 AS INT) AS position FROM nu WHERE section_type IN ('section', 'article') AND text <> ''",
     "xml_sections": f"WITH {NU} SELECT section_id, 'x' AS section_ref FROM nu WHERE section_type IN ('section', 'article') AND text <> '' AND (trim({_WORDS}) <> '' OR coalesce(provision, '') <> '')",
     "html_changes": f"{_DOCS} SELECT law_name, item, CAST(detail_no AS INT) AS detail_no, item AS name, coalesce(x.target, '') AS target, coalesce(x.affect, '') AS affect, coalesce(x.applied, '') AS applied FROM detail WHERE x IS NOT NULL",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pandect.functions import taxa
 from pandect.operators import register, roles
-from pandect.queries.sql import NL, NU
+from pandect.queries.sql import B, NL, NU
 from pandect.sources.tables import table
 
 #: Actors of the register's holders and of its provisions.
@@ -69,7 +69,21 @@ r AS (SELECT name, len(l) AS n_signals, round(list_reduce(list_concat([CAST({tax
 SELECT *, CASE WHEN score >= 0.70 THEN 'making' WHEN score <= 0.30 THEN 'not_making' ELSE 'uncertain' END AS class FROM r"""
 
 
+def _actors_sql(names: str) -> str:
+    """Each pattern of the library in turn, taken out of the text where it matches first."""
+    edge = rf"[{B}\p{{P}}\p{{S}}]"
+    steps, last, hits = [], "s0", []
+    for i, (name, pattern) in enumerate(roles.library_from_names(NAMES)):
+        if roles.governs(name) != (names == "role_gvt"):
+            continue
+        p = _q(f"{edge}(?:{pattern})".replace("\\ ", " ") + edge)
+        steps.append(f"s{i + 1} AS (SELECT * REPLACE (regexp_replace(t, '{p}', '') AS t, CASE WHEN regexp_matches(t, '{p}') THEN list_append(l, '{_q(name)}') ELSE l END AS l) FROM {last})")
+        last = f"s{i + 1}"
+    return f"(WITH s0 AS (SELECT section_id, ' ' || text || ' ' AS t, CAST([] AS VARCHAR[]) AS l FROM nu), {', '.join(steps)} SELECT section_id, array_to_string(list_sort(l), '|') AS {names} FROM {last})"
+
+
 ORACLE = {
+    "actor_extract": f"WITH {NU} SELECT * FROM {_actors_sql('role')} JOIN {_actors_sql('role_gvt')} USING (section_id)",
     "clean_texts": f"WITH {NU} SELECT section_id, regexp_replace(text, '{_q(taxa.pattern_of(taxa.NOISE))}', ' ', 'g') AS clean FROM nu",
     "purpose_classify": f"WITH {NU}, p AS (SELECT section_id, text, {_shown(taxa.PURPOSES)} AS l FROM nu) SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(l) = 0 THEN '{taxa.DEFAULT_PURPOSE}' ELSE array_to_string(l, '|') END AS purposes FROM p",
     "purpose_counts": f"WITH {NU}, p AS (SELECT {_shown(taxa.PURPOSES)} AS l FROM nu WHERE coalesce(text, '') <> '') SELECT purpose, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['{taxa.DEFAULT_PURPOSE}'] ELSE l END) AS purpose FROM p) GROUP BY 1",

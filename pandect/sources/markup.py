@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pandect.functions.citations import ELEMENTS, ELEMENTS_BY_KIND
 
@@ -26,16 +28,19 @@ def text_of(node: ET.Element | None, skip: tuple[str, ...] = ()) -> str | None:
     """All text below an element, blanks collapsed; elements in ``skip`` are left out."""
     if node is None:
         return None
-    out: list[str] = []
-
-    def walk(n: ET.Element) -> None:
-        out.append(n.text or "")
-        for c in n:
-            if c.tag not in skip:
-                walk(c)
-            out.append(c.tail or "")
-
-    walk(node)
+    out = [node.text or ""]
+    stack = [(node, iter(node))]  # of its own, so depth has no limit
+    while stack:
+        child = next(stack[-1][1], None)
+        if child is None:
+            done, _ = stack.pop()
+            if stack:
+                out.append(done.tail or "")
+        elif child.tag in skip:
+            out.append(child.tail or "")
+        else:
+            out.append(child.text or "")
+            stack.append((child, iter(child)))
     return _SPACES.sub(" ", " ".join(out)).strip() or None
 
 
@@ -75,7 +80,9 @@ def unit_rows(xml: str | None, kind: str = "section") -> list[dict]:
     types = {**ELEMENTS, **ELEMENTS_BY_KIND[kind]}
     rows: list[dict] = []
 
-    def walk(node: ET.Element, levels: dict, extent: str | None) -> None:
+    stack: list[tuple[ET.Element, dict, str | None]] = [(root, dict.fromkeys(LEVELS), None)]
+    while stack:
+        node, levels, extent = stack.pop()
         extent = (node.get("RestrictExtent") or extent or "").replace("N.I.", "NI") or None
         if node.tag in types:
             level, below = _SETS.get(node.tag, (None, ()))
@@ -89,10 +96,7 @@ def unit_rows(xml: str | None, kind: str = "section") -> list[dict]:
             title = text_of(node.find("Title")) if node.tag in ("Part", "Chapter", "Pblock", "Schedule") else text_of(node, inner)
             refs = [r.get("Ref") for r in node.iter("CommentaryRef") if r.get("Ref")]
             rows.append({"section_type": types[node.tag], **{k: levels.get(k) for k in LEVELS}, "extent_code": extent, "text": title, "refs": refs, "position": len(rows) + 1})
-        for child in node:
-            walk(child, levels, extent)
-
-    walk(root, dict.fromkeys(LEVELS), None)
+        stack.extend((child, levels, extent) for child in reversed(node))
     return rows
 
 
@@ -135,6 +139,40 @@ def metadata_row(xml: str | None) -> list[dict]:
     return [{"title": first("title"), "description": first("description"), "modified": first("modified"), "subjects": [s for s in (text_of(n) for n in root.iter("subject")) if s], "body_paras": value("BodyParagraphs"), "schedule_paras": value("ScheduleParagraphs"), "extent": extent}]
 
 
+ENACTING_ROW = "text string, urls map<string,array<string>>"
+
+
+def enacting_row(xml: str | None) -> list[dict]:
+    """The clause under which a law was made, and the links behind its reference
+    marks: those in a footnote of that mark, and of citations their own."""
+    root = parse(xml)
+    if root is None:
+        return []
+    text = " ".join(t for t in (text_of(n) for tag in ("IntroductoryText", "EnactingText") for n in root.iter(tag)) if t)
+    urls: dict[str, list[str]] = {}
+    for note in root.iter("Footnote"):
+        urls[note.get("id") or ""] = [c.get("URI") for c in note.iter("Citation") if c.get("URI")]
+    for c in root.iter("Citation"):
+        if c.get("id") and c.get("URI"):
+            urls.setdefault(c.get("id"), []).append(c.get("URI"))
+    return [{"text": text or None, "urls": {k: v for k, v in urls.items() if k and v}}]
+
+
+REPEAL_ROW = "title string, revoked boolean, revoking array<string>"
+
+
+def repeal_row(xml: str | None) -> list[dict]:
+    """Whether a law's title says that it is repealed or revoked, and the links
+    of the laws that its notes name as doing so."""
+    root = parse(xml)
+    if root is None:
+        return []
+    title = text_of(next(iter(root.iter("title")), None))
+    gone = bool(re.search(r"\((?:repealed|revoked)", title or "", re.I))
+    notes = [n for n in root.iter("Commentary") if re.search(r"\b(?:repealed|revoked)\b", text_of(n) or "", re.I)]
+    return [{"title": title, "revoked": gone, "revoking": list(dict.fromkeys(c.get("URI") for n in notes for c in n.iter("Citation") if c.get("URI")))}]
+
+
 SECTION_ROW = "section_ref string, text string"
 
 
@@ -253,12 +291,22 @@ def has_table(html: F.Column) -> F.Column:
 def shred(pages: DataFrame, keys: list[str], column: str, rows: Callable[[str | None], list[dict]], schema: str) -> DataFrame:
     """``keys`` and the rows that a parser makes of each page."""
     source = pages.select(*keys, column)
-    head = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
-    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
+    made = T.StructType.fromDDL(schema)
+    out = T.StructType([*[source.schema[k] for k in keys], *made])
+    kinds = [to_arrow_type(f.dataType) for f in made]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(*b.loc[i, keys], *[r[n] for n in names]) for i in b.index for r in rows(b.at[i, column])]
-            yield pd.DataFrame(made, columns=[*keys, *names])
-
-    return source.mapInPandas(run, f"{head}, {schema}")
+            at: list[int] = []
+            values: list[list] = [[] for _ in made]
+            for i, page in enumerate(b.column(len(keys)).to_pylist()):
+                for row in rows(page):
+                    at.append(i)
+                    for v, f in zip(values, made, strict=True):
+                        cell = row[f.name]
+                        v.append(list(cell.items()) if isinstance(cell, dict) else cell)
+            taken = pa.array(at, pa.int32())
+            cells = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(j).take(taken) for j in range(len(keys))], *cells], names=[f.name for f in out])
+
+    return source.mapInArrow(run, out)

@@ -1,3 +1,5 @@
+import os
+
 import datetime as dt
 
 from pandect.plans.newest import newest
@@ -12,3 +14,13 @@ def test_newest_row(spark):
     assert newest(df.limit(0), "k", ["v"]).count() == 0
     twice = newest(df.union(df), "k", ["v"])
     assert twice.count() == 2
+
+
+def test_stored_tables_are_released(spark):
+    from pandect.plans.cut import release, stored
+
+    df = stored(spark.range(3))
+    place = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 3 and os.path.isdir(place)
+    assert release(spark) >= 1 and not os.path.exists(place)
+    assert release(spark) == 0

@@ -2,11 +2,11 @@
 
 import pytest
 
-from pandect.queries import edges, keys, legacy, matching, problems, register, sources, streams, text
+from pandect.queries import edges, keys, legacy, matching, problems, register, sources, streams, text, worklists
 from tests.conftest import SMALL
 from tests.oracle import both
 
-MODULES = [problems, register, keys, edges, matching, text, legacy, sources, streams]
+MODULES = [problems, register, keys, edges, matching, text, legacy, sources, streams, worklists]
 QUERIES = {n: (q, m.ORACLE.get(n)) for m in MODULES for n, q in m.QUERIES.items()}
 
 
