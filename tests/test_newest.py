@@ -1,6 +1,3 @@
-import os
-
-import datetime as dt
 
 from pandect.plans.newest import newest
 from tests.conftest import rows
