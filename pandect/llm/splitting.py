@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pandect.functions.keys import law_key
-from pandect.plans.cut import cut, stored
+from pandect.plans.cut import stored
 from pandect.plans.newest import newest
 
 LIMIT = 1_200
@@ -224,9 +224,9 @@ def entries_on_path(table: DataFrame, keys: Sequence[str], rounds: int) -> DataF
     step = table
     for _ in range(rounds):
         onward = known.join(step, [*keys, "entry"]).select(*keys, F.col("exit").alias("entry"))
-        known = cut(known.unionByName(onward).distinct())
+        known = stored(known.unionByName(onward).distinct())
         second = step.select(*keys, F.col("entry").alias("exit"), F.col("exit").alias("__beyond"))
-        step = cut(step.join(second, [*keys, "exit"], "left").select(*keys, "entry", F.coalesce("__beyond", "exit").alias("exit")))
+        step = stored(step.join(second, [*keys, "exit"], "left").select(*keys, "entry", F.coalesce("__beyond", "exit").alias("exit")))
     return known
 
 
@@ -267,13 +267,13 @@ def pieces(units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_te
     kept = ["law_name", "path", "position", "size", "cuts"] + ["text"] * with_text
     # Stored: texts are measured once, though single units, offsets and sums each read some of it.
     now = stored(newest(measured, "section_id", kept))
-    segments = cut(_segments(_parts(now, limit), limit, overlap))
+    segments = stored(_segments(_parts(now, limit), limit, overlap))
     alone = segments.where(F.col("total") <= SEGMENT).withColumn("entry", F.lit(0).cast("bigint"))
     large = segments.where(F.col("total") > SEGMENT)
     most = large.agg(F.max("segment")).first()[0]
     entered = alone
     if most is not None:
-        known = entries_on_path(cut(_exits(large, limit, overlap)), KEYS, math.ceil(math.log2(most + 2)))
+        known = entries_on_path(stored(_exits(large, limit, overlap)), KEYS, math.ceil(math.log2(most + 2)))
         known = known.withColumn("segment", F.floor(F.col("entry") / SEGMENT).cast("bigint"))
         # The end of the text is no entry: no segment begins there, or its path is empty.
         entered = alone.unionByName(large.join(known, [*KEYS, "segment"]).select(*alone.columns))
