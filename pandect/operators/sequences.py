@@ -29,8 +29,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 def disambiguated(df: DataFrame, key: str, position: str) -> DataFrame:
     """Keys that occur more than once get ``#position`` behind them."""
-    often = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
-    return df.withColumn("unique_key", F.when(often, F.concat(F.col(key), F.lit("#"), F.col(position).cast("string"))).otherwise(F.col(key)))
+    often = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.count(F.lit(1)) > 1).alias("__often")).where("__often")
+    out = df.join(often, F.col(key) == F.col("__key"), "left")
+    return out.select(*df.columns, F.when(F.col("__often"), F.concat(F.col(key), F.lit("#"), F.col(position).cast("string"))).otherwise(F.col(key)).alias("unique_key"))
 
 
 def parallel(df: DataFrame, keys: Sequence[str], extent: str) -> DataFrame:
@@ -65,11 +66,22 @@ def inherited(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     return rows.withColumn("__in", inside).join(ends, same).select(*df.columns, F.coalesce("__in", "__carried").alias(name))
 
 
-def merged_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching ranges made one."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.coalesce(F.col(start) > reach, F.lit(True)), 1).otherwise(0)
-    marked = df.withColumn("__fresh", fresh)
-    marked = marked.withColumn("__island", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+def merged_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str, span: float | None = None) -> DataFrame:
+    """Overlapping or touching ranges made one. With ``span`` the ranges of a key
+    are merged in stretches of so much of ``start``: how far the stretches before
+    reach, and how many merged ranges they begin, carries over."""
+    rows = df.withColumn("__s", F.lit(0).cast("bigint") if span is None else F.floor(F.col(start) / F.lit(span)).cast("bigint"))
+    other = [f"__k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(o) for k, o in zip(keys, other, strict=True)]
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)] + [F.col("__s").eqNullSafe(F.col("__t"))]
+    inside = Window.partitionBy(*keys, "__s").orderBy(start, end)
+    along = Window.partitionBy(*other).orderBy(F.col("__t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*named, F.col("__s").alias("__t")).agg(F.max(end).alias("__end"))
+    ends = ends.withColumn("__carried", F.max("__end").over(along)).drop("__end")
+    reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carried"))
+    marked = rows.join(ends, same).drop(*other, "__t").withColumn("__fresh", F.when(F.coalesce(F.col(start) > reach, F.lit(True)), 1).otherwise(0))
+    marked = marked.withColumn("__n", F.sum("__fresh").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    begun = marked.groupBy(*named, F.col("__s").alias("__t")).agg(F.sum("__fresh").alias("__sum"))
+    begun = begun.withColumn("__before", F.coalesce(F.sum("__sum").over(along), F.lit(0))).drop("__sum")
+    out = marked.join(begun, same).withColumn("__island", F.col("__before") + F.col("__n"))
+    return out.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")

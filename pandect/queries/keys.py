@@ -66,7 +66,7 @@ QUERIES = {
     "unique_citations": _units(lambda u: sequences.disambiguated(u.withColumn("k", F.concat_ws(":", "law_name", "section_type", "provision")), "k", "position").select("section_id", "unique_key")),
     "sections_by_reference": _notes(lambda a: sequences.inverted(a, "id", "affected_sections", "created_at").select("ref", F.size("keys").cast("bigint").alias("n"))),
     "inherited_headings": _units(lambda u: sequences.inherited(u.withColumn("h", F.when(F.col("section_type") == "heading", F.col("text"))), ["law_name"], ["position", "section_id"], "h", "heading", F.floor(F.col("position") / 256)).select("section_id", "heading")),
-    "merged_ranges": _units(lambda u: sequences.merged_ranges(u.where("position is not null").select("law_name", F.col("position").alias("a"), (F.col("position") + F.length("text") % 3).alias("b")), ["law_name"], "a", "b")),
+    "merged_ranges": _units(lambda u: sequences.merged_ranges(u.where("position is not null").select("law_name", F.col("position").alias("a"), (F.col("position") + F.length("text") % 3).alias("b")), ["law_name"], "a", "b", 64)),
 }
 
 _NUM = r"^([0-9]*)(Z[A-Z]|[A-Z])?(Z[A-Z]|[A-Z])?"

@@ -93,7 +93,8 @@ def test_percentiles_at_the_lower_rank(spark):
 
 def test_ranges_and_repeats(spark):
     df = spark.createDataFrame([("k", 1, 3), ("k", 2, 9), ("k", 9, 10), ("k", 12, 13), ("j", 0, 0)], "k string, a int, b int")
-    assert rows(sequences.merged_ranges(df, ["k"], "a", "b")) == [("j", 0, 0), ("k", 1, 10), ("k", 12, 13)]
+    for span in (None, 1, 3, 100):
+        assert rows(sequences.merged_ranges(df, ["k"], "a", "b", span)) == [("j", 0, 0), ("k", 1, 10), ("k", 12, 13)]
     d = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, p int")
     assert [r["unique_key"] for r in sequences.disambiguated(d, "k", "p").orderBy("p").collect()] == ["x#1", "x#2", "y"]
 

@@ -1,3 +1,7 @@
+"""The newest row of a key, and tables that are stored."""
+
+import datetime as dt
+import os
 
 from pandect.plans.newest import newest
 from tests.conftest import rows
