@@ -92,6 +92,19 @@ def rule_patterns(library: Sequence[tuple[str, str]]) -> list[tuple[str, str, re
     ]
 
 
+def first_patterns(library: Sequence[tuple[str, str]]) -> list[tuple[str, str, regex.Pattern]]:
+    """The first version of the rules: an actor anywhere before its modal in the
+    same sentence, or behind a passive ("must be kept by the actor"); actions
+    aren't captured."""
+    out = []
+    for name, actor in library:
+        for kind, (government, modal) in KINDS.items():
+            if government == governs(name):
+                out.append((name, kind, regex.compile(rf"(?:^|{EDGE})(?:{actor})(?={EDGE})[^—.]*?\b(?P<modal>{modal})\b(?P<action>(?!))?")))
+                out.append((name, kind, regex.compile(rf"\b(?P<modal>{modal.replace('|' + chr(92) + 's+be', '')})\s+be\s[^—.]*?\bby\s(?:the\s|an?\s)?(?:{actor})(?={EDGE})(?P<action>(?!))?")))
+    return out
+
+
 def clauses_in(text: str | None, patterns: Sequence[tuple[str, str, regex.Pattern]], large: int | None = None, longest: int | None = None) -> list[tuple[str, str, str, bool]]:
     """(name, kind, clause, action seen) of the rules in a text. Of actors with
     the same clause the one with the longest name is kept, the first of equals."""
@@ -131,13 +144,14 @@ def with_actors(df: DataFrame, text: str, library: Sequence[tuple[str, str]]) ->
 CLAUSE = "array<struct<holder:string,duty_type:string,clause:string,captured:boolean>>"
 
 
-def clauses(text: Column, library: Sequence[tuple[str, str]], large: int | None = None, longest: int | None = None) -> Column:
-    """Rules of a text as an array of ``CLAUSE`` structs. Texts without any
+def clauses(text: Column, library: Sequence[tuple[str, str]], large: int | None = None, longest: int | None = None, version: int = 2) -> Column:
+    """Rules of a text as an array of ``CLAUSE`` structs, by either version of
+    the patterns. Texts without any
     modal don't leave the JVM with their words."""
 
     @F.pandas_udf(CLAUSE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        patterns = rule_patterns(library)  # once per task
+        patterns = (rule_patterns if version == 2 else first_patterns)(library)  # once per task
         for s in batches:
             yield s.map(lambda t: [dict(zip(("holder", "duty_type", "clause", "captured"), c, strict=True)) for c in clauses_in(t, patterns, large, longest)])
 

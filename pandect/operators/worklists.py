@@ -178,3 +178,8 @@ def answer(tables: Mapping[str, DataFrame], expression: str, key_columns: Mappin
 def domain_of(family: Column, domains: Mapping[str, str]) -> Column:
     """Domain of a family by the first beginning of its name that is known, null if none is."""
     return F.coalesce(*[F.when(F.startswith(F.ltrim(family), F.lit(start)), F.lit(d)) for start, d in domains.items()])
+
+
+def replaced(state: DataFrame, rows: DataFrame, column: str, value: str) -> DataFrame:
+    """A table with all rows of one value of a column replaced by others."""
+    return state.where(~F.col(column).eqNullSafe(F.lit(value))).unionByName(rows.select(*state.columns))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pandect.operators import law_documents, register
+from pandect.operators import law_documents, register, worklists
 from pandect.plans.cut import shared_folder
 from pandect.queries.problems import _DOCS
 from pandect.queries.sql import NL, NU
@@ -94,7 +94,21 @@ def _law_xml(rows, schema):
     return lambda spark, d: markup.shred(_law_pages(spark, d), ["name"], "xml", rows, schema)
 
 
+def _reshredded(spark, d):
+    """Units of one law made anew from its pages and put in place of the old ones."""
+    units = register.units(table(spark, d, "lat"), "section_type", "provision", "text").select("section_id", "law_name", "section_type", "provision", "text")
+    pages = _pages(spark, d).join(units.where(F.col("law_name") == RESHREDDED).select("section_id"), "section_id", "left_semi")
+    made = markup.shred(pages, ["section_id"], "xml", markup.unit_rows, markup.UNIT_ROW)
+    made = made.select("section_id", F.lit(RESHREDDED).alias("law_name"), "section_type", "provision", "text")
+    after = worklists.replaced(units, made, "law_name", RESHREDDED)
+    return after.where("law_name is not null").groupBy("law_name").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("section_type") == "section").alias("sections"))
+
+
+#: The law that is shredded again; it holds about a tenth of the units.
+RESHREDDED = "UK_ukpga_1987_5001"
+
 QUERIES = {
+    "reshred_law": _reshredded,
     "html_listing": lambda spark, d: markup.shred(_listings(spark, d), ["name"], "html", markup.listing_rows, markup.LISTING_ROW),
     "html_with_table": lambda spark, d: _listings(spark, d).where(markup.has_table(F.col("html"))).select("name"),
     "xml_metadata": lambda spark, d: _law_xml(markup.metadata_row, markup.METADATA_ROW)(spark, d).select("name", "title", "description", F.array_join("subjects", "|").alias("subjects"), "body_paras"),
@@ -115,6 +129,7 @@ QUERIES = {
 _WORDS = r"trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{1680}\x{85}\x{2028}\x{2029}]+', ' ', 'g'))"
 _L = f"WITH {NL}, x AS (SELECT name, CASE WHEN title_en IS NULL THEN '' ELSE trim(regexp_replace(title_en, '\\s+', ' ', 'g')) END AS t, coalesce(contains(live, 'Revoked'), false) AS gone, year, 'http://register.example/id/ukpga/' || year || '/' || coalesce(number, '0') AS u FROM nl WHERE year IS NOT NULL)"
 ORACLE = {
+    "reshred_law": f"WITH {NU}, a AS (SELECT law_name, CASE WHEN law_name = '{RESHREDDED}' THEN 'section' ELSE section_type END AS section_type FROM nu WHERE law_name <> '{RESHREDDED}' OR (section_type IN ('section', 'article') AND text <> '')) SELECT law_name, count(*) AS units, count(*) FILTER (WHERE section_type = 'section') AS sections FROM a WHERE law_name IS NOT NULL GROUP BY 1",
     "html_listing": f"{_L} SELECT name, '/id/' || replace(name, '_', '/') AS path, nullif(t, '') AS title_en, NULL AS description FROM x UNION ALL SELECT name, '/id/first', 'First', 'One line' FROM x",
     "html_with_table": f"{_L} SELECT name FROM x WHERE year % 2 = 0",
     "xml_metadata": f"{_L} SELECT name, nullif(trim(t || CASE WHEN gone THEN ' (revoked)' ELSE '' END), '') AS title, 'About it' AS description, 'A|B' AS subjects, CAST(length(name) % 7 AS INT) AS body_paras FROM x",

@@ -50,7 +50,16 @@ def _enrich(spark, d):
     return S.enrich(state, messages, "c_custkey", ["c_acctbal"])
 
 
+def _counters(spark, d):
+    """Counters of a batch that come with its rows as they are written."""
+    df, seen = S.counted(_messages(table(spark, d, "events")), f"counters-{uuid.uuid4().hex}")
+    df.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(got["rows"], got["control"])], "rows bigint, control bigint")
+
+
 QUERIES = {
+    "batch_counters": _counters,
     "changelog_merge": _merge_stream,
     "changelog_latest": lambda spark, d: S.latest(_messages(table(spark, d, "events")), "user_id", S.OFFSET).select("user_id", "event_type", "value"),
     "incremental_counts": _counts,
@@ -61,6 +70,7 @@ QUERIES = {
 
 _M = "m AS (SELECT *, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS operation FROM events)"
 ORACLE = {
+    "batch_counters": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS control FROM events",
     "changelog_merge": f"WITH {_M} SELECT user_id, event_type, value FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) WHERE operation <> 'delete'",
     "changelog_latest": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1",
     "incremental_counts": f"WITH {_M} SELECT user_id, CAST(sum(CASE operation WHEN 'delete' THEN -1 WHEN 'insert' THEN 1 ELSE 0 END) AS BIGINT) AS n, max(CASE WHEN operation <> 'delete' THEN epoch_us(ts) END) AS latest FROM m GROUP BY 1 HAVING sum(CASE operation WHEN 'delete' THEN -1 WHEN 'insert' THEN 1 ELSE 0 END) > 0",

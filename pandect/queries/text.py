@@ -42,6 +42,7 @@ QUERIES = {
     "clause_confidence": _units(lambda u: u.select("section_id", taxa.clause_confidence(F.col("text"), F.col("provision").isNotNull()).alias("confidence")).withColumn("with_article", taxa.with_article_bonus(F.col("confidence")))),
     "actor_extract": _units(lambda u: roles.with_actors(u.select("section_id", "text"), "text", roles.library_from_names(NAMES)).select("section_id", F.array_join("role", "|").alias("role"), F.array_join("role_gvt", "|").alias("role_gvt"))),
     "duty_extract": _units(lambda u: u.select("section_id", F.explode(roles.clauses(F.col("text"), roles.library_from_names(NAMES))).alias("r")).select("section_id", "r.*").withColumn("confidence", taxa.clause_confidence(F.col("clause"), F.col("captured")))),
+    "duty_extract_first": _units(lambda u: u.select("section_id", F.explode(roles.clauses(F.col("text"), roles.library_from_names(NAMES), version=1)).alias("r")).select("section_id", "r.holder", "r.duty_type", "r.clause")),
     "rules_by_law": _units(lambda u: _rules(u).select("law_name", F.size("entries").cast("bigint").alias("n_entries"), F.array_join("holders", "|").alias("holders"), F.array_join("duty_types", "|").alias("duty_types"), taxa.is_making(F.transform("duty_types", F.initcap)).alias("is_making"))),
 }
 

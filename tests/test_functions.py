@@ -103,6 +103,8 @@ def test_rules_of_a_text():
     long = "x " * 40_000 + "The kiln master must clean it. " + "y " * 40_000
     assert [g[:2] for g in roles.clauses_in(long, lib)] == [("Ind: Kiln Master", "DUTY")]
     assert [g[:2] for g in roles.clauses_in(long, lib, large=1000)] == [("Ind: Kiln Master", "DUTY")]
+    first = roles.clauses_in("The kiln must be kept by the kiln master. The Upland Board may act.", roles.first_patterns(LIB))
+    assert {g[:2] for g in first} >= {("Ind: Kiln Master", "DUTY"), ("Gvt: Upland Board", "POWER")} and not any(g[3] for g in first)
     # Clauses that are alike in their first hundred characters are two; nothing is cut without being asked.
     same = "The kiln master must " + "clean and clean " * 8
     two = roles.clauses_in(f"{same}kilns. {same}hoists.", lib)
