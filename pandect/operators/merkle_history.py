@@ -22,6 +22,7 @@ start with ``__``, so that no column of the input clashes with them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from pandect.plans.cut import stored
 
 FANOUT = 256
 LEVELS = 2
+#: Snapshots whose comparisons share a job.
+BLOCK = 8
 _A, _B = "__digest_a", "__digest_b"
 
 
@@ -144,26 +147,29 @@ def maintain(snapshots: Sequence[DataFrame], keys: Sequence[str], at: str, value
     before; the history is always that of the last one.
     """
     content = [*keys, at, value]
-    history = nodes = before = None
+    numbered = lambda parts: reduce(DataFrame.unionByName, [df.withColumn("__i", F.lit(i)) for i, df in parts])
+    of = lambda df, i: df.where(F.col("__i") == i).drop("__i")
+    history = versions(snapshots[0], keys, at, value, span)
     looked_at = []
-    for rows in snapshots:
-        now = stored(tree(rows, content, (), keys, levels, fanout))
-        if history is None:
-            history = versions(rows, keys, at, value, span)
-        else:
-            other = stored(differing(nodes, now))
-            looked_at.append((other, now))
-            changes = diff_snapshots(before, rows, content, (), levels, fanout, _descend(other, levels, fanout), keys)
-            history = append_observed(stored(history), stored(changes.select(*keys).distinct()), rows, keys, at, value, span)
-        nodes, before = now, rows
+    # A block of snapshots takes one job each for its trees, its comparisons and its diffs.
+    for first in range(1, len(snapshots), BLOCK):
+        links = range(first, min(first + BLOCK, len(snapshots)))
+        trees = stored(numbered([(i, tree(snapshots[i], content, (), keys, levels, fanout)) for i in (first - 1, *links)]))
+        differ = stored(numbered([(i, differing(of(trees, i - 1), of(trees, i))) for i in links]))
+        diff = lambda i: diff_snapshots(snapshots[i - 1], snapshots[i], content, (), levels, fanout, _descend(of(differ, i), levels, fanout), keys)  # noqa: E731, B023
+        # Of a key that several snapshots of the block changed the last one's versions stay.
+        changed = stored(numbered([(i, diff(i).select(*keys)) for i in links]).groupBy(*keys).agg(F.max("__i").alias("__i")))
+        rows = reduce(DataFrame.unionByName, [snapshots[i].join(of(changed, i), list(keys), "left_semi") for i in links])
+        history = append_observed(history if first == 1 else stored(history), changed, rows, keys, at, value, span)
+        looked_at += [(of(differ, i), of(trees, i)) for i in links]
     return Maintained(history, looked_at)
 
 
 def append_observed(history: DataFrame, changed: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, value: str, span: int) -> DataFrame:
     """History (as ``versions``) with those of the ``changed`` keys made anew
-    from the observations ``rows``: an observation that came late may part a
-    version or join two."""
-    fresh = versions(rows.join(changed, list(keys), "left_semi"), keys, at, value, span)
+    from ``rows``, all their observations: one that came late may part a version
+    or join two."""
+    fresh = versions(rows, keys, at, value, span)
     return history.join(changed, list(keys), "left_anti").unionByName(fresh)
 
 
