@@ -83,7 +83,34 @@ def _actors_sql(names: str) -> str:
     return f"(WITH s0 AS (SELECT section_id, ' ' || text || ' ' AS t, CAST([] AS VARCHAR[]) AS l FROM nu), {', '.join(steps)} SELECT section_id, array_to_string(list_sort(l), '|') AS {names} FROM {last})"
 
 
+def _rules_sql() -> str:
+    """Rules by place: every place of an actor, the first modal behind it, and the line around that."""
+    edge = rf"[{B}\p{{P}}\p{{S}}]"
+    parts = []
+    for i, (name, pattern) in enumerate(roles.library_from_names(NAMES)):
+        p = _q(pattern)
+        for kind, (government, modal) in roles.KINDS.items():
+            if government != roles.governs(name):
+                continue
+            word = modal.partition("(?!")[0]
+            lead = rf"(?s)^([^—.]{{0,{roles.BEFORE}}}?)\b({word})[,{B}—]+"
+            parts.append(f"""SELECT *, pos + size + length(pre) AS m0, pos + size + length(pre) + length(md) AS m1, pos + size + length(whole) AS s1 FROM (
+  SELECT section_id, text, {i} AS rank, '{_q(name)}' AS holder, '{kind}' AS duty_type, pos, size, regexp_extract(rest, '{lead}', 1) AS pre, regexp_extract(rest, '{lead}', 2) AS md, regexp_extract(rest, '{lead}') AS whole FROM (
+    SELECT section_id, text, pos, size, substring(masked, pos + size + 1) AS rest FROM (
+      SELECT section_id, text, masked, CAST(list_sum(list_transform(ps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, length(hs[j]) AS size FROM (
+        SELECT *, unnest(range(1, len(hs) + 1)) AS j FROM (SELECT section_id, text, masked, string_split_regex(text, '{p}') AS ps, regexp_extract_all(text, '{p}') AS hs FROM mk)))
+    WHERE (pos = 0 OR regexp_matches(substring(text, pos, 1), '{edge}')) AND regexp_matches(substring(text, pos + size + 1, 1), '{edge}'))) WHERE md <> ''""")
+    return rf"""mk AS (SELECT section_id, text, regexp_replace(regexp_replace(text, '\b(shal|mus)[lt]([{B}]+have the power)', '\1' || chr(1) || '\2', 'g'), '\bmay([{B}]+(?:not|be))', 'ma' || chr(1) || '\1', 'g') AS masked FROM nu WHERE regexp_matches(text, '(?i)\b(?:shall|must|may)\b')),
+hit AS ({" UNION ALL ".join(parts)}),
+cl AS (SELECT *, s1 < length(text) AS captured, substring(text, greatest(0, greatest(pos - 1, 0) - 100) + 1, m0 - greatest(0, greatest(pos - 1, 0) - 100)) AS head, substring(text, m1 + 1, least(length(text), s1 + {roles.BEHIND}) - m1) AS tail FROM hit),
+ln AS (SELECT *, trim(regexp_replace(regexp_replace(head, '(?s)^.*[.;][{B}]+(\p{{Lu}}.*)$', '\1') || md || CASE WHEN regexp_matches(tail, '(?s)[.;](?:[{B}]|$)') THEN regexp_extract(tail, '(?s)^(.*?[.;])(?:[{B}]|$)', 1) ELSE tail END, '[{B}]+', ' ', 'g')) AS line FROM cl),
+ru AS (SELECT section_id, holder, duty_type, captured, rank, pos, CASE WHEN regexp_matches(line, '[.;!?)]$') THEN line ELSE rtrim(line, ' ,') || '...' END AS clause FROM ln),
+rules AS (SELECT * FROM ru QUALIFY row_number() OVER (PARTITION BY section_id, duty_type, lower(clause) ORDER BY length(holder) DESC, rank, pos) = 1)"""
+
+
 ORACLE = {
+    "duty_extract": rf"WITH {NU}, {_rules_sql()} SELECT section_id, holder, duty_type, clause, captured, round(CASE WHEN captured THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN NOT ends_with(clause, '...') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(clause) > 30 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(clause, '(?i)\b(?:shall|must)\b') THEN 0.15::DOUBLE ELSE 0 END, 2) AS confidence FROM rules",
+    "rules_by_law": f"WITH {NU}, {_rules_sql()}, j AS (SELECT DISTINCT law_name, concat_ws('-', section_type, provision) AS article, holder, duty_type, clause, captured FROM rules JOIN nu USING (section_id)) SELECT law_name, count(*) AS n_entries, string_agg(DISTINCT holder, '|' ORDER BY holder) AS holders, string_agg(DISTINCT duty_type, '|' ORDER BY duty_type) AS duty_types, bool_or(duty_type IN ('DUTY', 'RESPONSIBILITY')) AS is_making FROM j GROUP BY 1",
     "actor_extract": f"WITH {NU} SELECT * FROM {_actors_sql('role')} JOIN {_actors_sql('role_gvt')} USING (section_id)",
     "clean_texts": f"WITH {NU} SELECT section_id, regexp_replace(text, '{_q(taxa.pattern_of(taxa.NOISE))}', ' ', 'g') AS clean FROM nu",
     "purpose_classify": f"WITH {NU}, p AS (SELECT section_id, text, {_shown(taxa.PURPOSES)} AS l FROM nu) SELECT section_id, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(l) = 0 THEN '{taxa.DEFAULT_PURPOSE}' ELSE array_to_string(l, '|') END AS purposes FROM p",
