@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pandect.llm import mixing, packing, splitting, truncation
+from pandect.llm import mixing, packing, splitting, truncation, truncation_sql
 from pandect.sources.tables import table
 
 
@@ -54,7 +54,7 @@ m AS (SELECT mix_id, source, sum(weight) AS weight, max(coalesce(max_repeats, 1)
 w AS (SELECT *, weight / sum(weight) OVER (PARTITION BY mix_id) AS share FROM m)
 """
 
-ORACLE = {
+ORACLE = truncation_sql.ORACLE | {
     "p5_found": f"{_ITEMS} SELECT item_kind, law_name, item_key FROM items",
     "p5_check": f"{_ITEMS} SELECT *, true AS within_limit, true AS overlapping, true AS covering, true AS texts_fit FROM items",
     "p6_found": f"SELECT doc_id FROM documents WHERE {_T} > 512",

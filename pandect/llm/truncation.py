@@ -73,8 +73,9 @@ _MARKS = rf"\G(?:>[^<>]*[A-Za-z]/?<|[{BLANK}{_ZERO}…>\"”]++|\.{{3,}}+|\](?:
 _NOTES = rf"\G(?:[{BLANK}]++|\]\d++[A-Z]?\[|\d++[A-Z]?(?= \. \. \.)| \.(?= \.)|\)\d++\(|\*++|[—–-]|\)[^()]* ees\(|\.?tnemucod fo dn[Ee]|\d++[A-Z](?![\p{{L}}\p{{N}}]))"
 #: An end of a sentence, as it reads backwards.
 _SENTENCE = rf"\A[{_CLOSE}]*+[{_STOPS}]"
-#: A sure end of a sentence that needs no closer look: a word in small letters and a full stop.
-_PLAIN = r"\p{Ll}{6}[.!?]\z"
+#: A sure end of a sentence that needs no closer look: a word in small letters,
+#: longer than any abbreviation, and a full stop.
+_PLAIN = rf"\p{{Ll}}{{{max(map(len, WORDS['abbreviation'].split())) + 1}}}[.!?]\z"
 _ADDRESS = r"\A(?:https?://|www\.).|\A[^@]++@[^@]++\z"
 #: Characters at the end that hold any abbreviation, date or amount whole.
 _NEAR = 64
