@@ -29,7 +29,7 @@ def _merge_stream(spark, d):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     where, pattern = (source, "*.parquet") if folder else (d, "events.parquet")
-    state = S.VersionedTable(spark, f"{place}/table", _STATE, "user_id")
+    state = S.VersionedTable(spark, f"{place}/table", _STATE, "user_id", 8)
     for run in ("first", "again"):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 4).parquet(where)
         S.follow(_messages(stream), state, f"{place}/checkpoint-{run}").awaitTermination()
